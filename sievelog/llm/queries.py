@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +29,7 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled outcomes: a page is bad if the document of its id is labelled as of low quality."""
     pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
     outcomes = pages.select("page_id", "url").join(labels.select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad")), "page_id").select("url", "bad")
-    return url_filter.judge(pages, outcomes, RULES)
+    return url_filter.judge(pages, outcomes, RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,10 +95,91 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 
-#: The rules, longest last, as CASE branches that are tried from the longest on.
+#: The rules as CASE branches, tried from the longest on.
 _RULE = "\n".join(f"    WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{p}') THEN '{h}/{p}'" for h, p in (r[1].split("/", 1) for r in sorted(RULES, key=lambda r: -len(r[1]))))
 _VERDICT = "\n".join(f"    WHEN '{text}' THEN '{say}'" for say, text in RULES)
+_TWO = ", ".join(f"'{s}'" for s in url_filter.TWO_LABEL_SUFFIXES)
+
+
+def _labels(n: int) -> str:
+    return f"array_to_string(string_split(host, '.')[-{n}:], '.')"
+
+
+def _level(name: str, source: str, keys: str, prior: str) -> str:
+    """CTEs of one level: rows with their prior, the level's strength by the method of moments, and posteriors."""
+    return f"""
+{name}_rows AS ({source.format(prior=prior)}),
+{name}_sums AS (SELECT sum((bad - n * prior) * (bad - n * prior) / n) AS dev, sum(prior * (1 - prior)) AS var, sum((n - 1) * prior * (1 - prior)) AS over FROM {name}_rows),
+{name}_post AS (SELECT {keys}, k * prior + bad AS a, k * (1 - prior) + n - bad AS b FROM {name}_rows, (
+  SELECT CASE WHEN coalesce(over, 0) = 0 OR dev <= var THEN 1e4 ELSE least(1e4, greatest(1.0, over / (dev - var) - 1)) END AS k FROM {name}_sums)),"""
+
+
+_OP1 = f"""WITH p AS (
+  SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{url_filter.UPPER}', '{url_filter.LOWER}'), '') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+named AS (SELECT *, CASE WHEN {_labels(2)} IN ({_TWO}) THEN {_labels(3)} ELSE {_labels(2)} END AS domain, CASE WHEN {_labels(2)} IN ({_TWO}) THEN {_labels(2)} ELSE {_labels(1)} END AS suffix FROM p),
+seen AS (SELECT host, domain, suffix, CAST(1 - quality AS DOUBLE) AS bad FROM named JOIN labels ON doc_id = page_id WHERE quality IS NOT NULL),
+every AS (SELECT coalesce(sum(bad), 0) + 0.5 AS a, count(*) - coalesce(sum(bad), 0) + 0.5 AS b FROM seen),""" + _level("suffix", "SELECT suffix, count(*)::DOUBLE AS n, sum(bad) AS bad, any_value({prior}) AS prior FROM seen, every GROUP BY suffix", "suffix", "a / (a + b)") + _level(
+    "domain", "SELECT domain, s.n, s.bad, {prior} AS prior FROM (SELECT domain, suffix, count(*)::DOUBLE AS n, sum(bad) AS bad FROM seen GROUP BY ALL) s JOIN suffix_post USING (suffix)", "domain", "a / (a + b)"
+) + _level("host", "SELECT host, s.n, s.bad, {prior} AS prior FROM (SELECT host, domain, count(*)::DOUBLE AS n, sum(bad) AS bad FROM seen GROUP BY ALL) s JOIN domain_post USING (domain)", "host", "a / (a + b)") + f"""
+judged AS (SELECT page_id, host, path, CASE
+{_RULE} END AS rule, coalesce(h.a, d.a, s.a, e.a) AS a, coalesce(h.b, d.b, s.b, e.b) AS b
+  FROM named LEFT JOIN host_post h USING (host) LEFT JOIN domain_post d USING (domain) LEFT JOIN suffix_post s USING (suffix), every e)
+SELECT page_id, host, path, rule, CASE rule
+{_VERDICT}
+    ELSE CASE WHEN a / (a + b) - 1.645 * sqrt(a / (a + b) * (b / (a + b)) / (a + b + 1)) > 0.5 THEN 'block' ELSE 'allow' END END AS verdict FROM judged"""
+
+_WS = r"[\x20\x09-\x0D]"
+_OP3 = f"""WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '{_WS}+', ' ', 'g')) AS h FROM documents),
+g AS (SELECT h, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY h)
+SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, h AS text_sha256 FROM d JOIN g USING (h)"""
+
+_OP5 = f"""WITH l AS (SELECT doc_id, generate_subscripts(lines, 1) AS i, unnest(lines) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{url_filter.UPPER}', '{url_filter.LOWER}') AS key FROM l),
+r AS (SELECT key, max(doc_id) AS keep FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+m AS (SELECT doc_id, i, line, keep IS NULL OR keep = doc_id AS stays FROM k LEFT JOIN r USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE NOT stays) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE stays), '')) AS kept_sha256 FROM m GROUP BY doc_id"""
+
+
+def _permuted(i: str, n: str, bits: str, seed: str) -> tuple[str, str]:
+    """Lateral columns v1 … and the last one's name: the permutation of ``mixing.permuted``."""
+    columns, at = [], i
+    for k in range(mixing.ROUNDS):
+        times = f"CASE WHEN {n} % {mixing.PRIMES[k]} <> 0 THEN {mixing.PRIMES[k]} ELSE {mixing.PRIMES[(k + 1) % len(mixing.PRIMES)]} END"
+        columns.append(f"({at} * ({times})::BIGINT + (({seed}) * {2 * k + 7919} + {104729 * (k + 1)}) % {n}) % {n} AS a{k}")
+        columns.append(f"CASE WHEN a{k} < (1::BIGINT << ({bits})::INT) THEN xor(a{k}, a{k} >> (({bits} + 1) // 2)::INT) ELSE a{k} END AS v{k}")
+        at = f"v{k}"
+    return ", ".join(columns), at
+
+
+def _op4() -> str:
+    """Targets, stream, slots and blocks as ``mixing`` makes them, with DuckDB's windows and lists."""
+    b = mixing.BLOCK
+    chosen, block = _permuted("j", "greatest(full_blocks, 1)", "bits", "rank * 31 + epoch * 17 + 1")
+    return f"""WITH d AS (SELECT doc_id AS id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
+c AS (SELECT greatest(16, CASE WHEN count(*) > 20000 THEN (1::BIGINT << ceil(log2(count(*) / 20000.0))::INT) ELSE 1 END) AS chunks FROM d),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+r AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source COLLATE "C") - 1 AS rank FROM s),
+w AS (SELECT *, list_extract([{", ".join(map(str, WEIGHTS))}], rank % {len(WEIGHTS)} + 1)::DOUBLE AS weight FROM r),
+f AS (SELECT *, (sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER cap, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER cap, 0)) AS level
+  FROM w WINDOW cap AS (ORDER BY source_size / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, source_size, rank, least(coalesce((SELECT level FROM f WHERE level * weight <= 3 * source_size ORDER BY source_size / weight, rank LIMIT 1), 0) * weight, 3.0 * source_size) AS target FROM f),
+q AS (SELECT *, round(target)::BIGINT AS quota, source_size // {b} AS full_blocks, source_size // {b} + (source_size % {b} > 0)::INT AS per_epoch FROM t),
+n AS (SELECT *, quota // source_size AS epochs, floor(log2(greatest(full_blocks, 1)))::INT AS bits FROM q WHERE quota > 0),
+k AS (SELECT *, unnest(range(epochs * per_epoch + (quota - epochs * source_size + {b - 1}) // {b})) AS k FROM n),
+e AS (SELECT *, k // per_epoch AS epoch, k % per_epoch AS j FROM k),
+x AS (SELECT rank, CASE WHEN j < full_blocks THEN v ELSE full_blocks END AS block, words FROM (
+  SELECT *, {chosen}, {block} AS v, least({b}, source_size - j * {b}, quota - epoch * source_size - j * {b}) AS words FROM e)),
+p AS (SELECT d.*, sum(size) OVER (PARTITION BY source ORDER BY chunk, id NULLS LAST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, row_number() OVER () AS row
+  FROM (SELECT d.*, coalesce(((id % chunks) + chunks) % chunks, chunks) AS chunk FROM d, c) d),
+o AS (SELECT p.*, coalesce(before, 0)::BIGINT AS start, t.rank, t.source_size, t.target FROM p JOIN t ON t.source IS NOT DISTINCT FROM p.source),
+m AS (SELECT *, unnest(range(start // {b}, (start + size - 1) // {b} + 1)) AS block FROM o WHERE size > 0),
+g AS (SELECT row, sum(greatest(0, least(start + size, m.block * {b} + words) - greatest(start, m.block * {b})))::BIGINT AS taken FROM m JOIN x ON x.rank = m.rank AND x.block = m.block GROUP BY row)
+SELECT id AS doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM o LEFT JOIN g USING (row)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    import corpus_pipeline
+
+    found = {"op1_url_filter": _OP1, "op3_exact_dedup": _OP3, "op4_source_mix": _op4(), "op5_line_dedup": _OP5}
+    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
