@@ -120,7 +120,7 @@ def number_text(x: float) -> str:
         digits, _, exponent = (text if "e" in text else f"{x:e}").partition("e")
         power = int(exponent)
         return f"{digits.removesuffix('.0')}e{'+' if power > 0 else '-'}{abs(power)}"
-    return text
+    return text.removesuffix(".0")
 
 
 _ESCAPES = {'"': '\\"', "\\": "\\\\", "\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t"}

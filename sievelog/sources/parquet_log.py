@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.dataset as ds
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
@@ -41,11 +42,12 @@ def _offsets(path: str) -> dict[int, tuple[int, int]]:
     for folder in glob.glob(os.path.join(path, "partition=*")):
         low, high = None, 0
         for file in glob.glob(os.path.join(folder, "*.parquet")):
-            for fragment in ds.dataset(file).get_fragments():
-                for group in fragment.row_groups:
-                    edges = group.statistics["offset"]
-                    low = edges["min"] if low is None else min(low, edges["min"])
-                    high = max(high, edges["max"] + 1)
+            footer = pq.read_metadata(file)
+            at = footer.schema.names.index("offset")
+            for i in range(footer.num_row_groups):
+                edges = footer.row_group(i).column(at).statistics
+                low = edges.min if low is None else min(low, edges.min)
+                high = max(high, edges.max + 1)
         if low is not None:
             found[int(folder.rsplit("=", 1)[1])] = (low, high)
     return found
