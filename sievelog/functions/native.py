@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .parser import Node, parse
@@ -46,7 +46,7 @@ def _boolean(ok: Column, x: Column) -> Value:
 
 class Native:
     def __init__(self, document: Column, variables):
-        self.document, self.variables = document, variables
+        self.document, self.variables, self.found = document, variables, {}
 
     def compile(self, node: Node) -> Value:
         if node.stages or node.group or node.keep:
@@ -88,17 +88,26 @@ class Native:
             raise Unsupported
         if node.steps[0].kind == "variable":
             return _constant(self._constant_of(node))
-        names = self._names(node)
-        get = lambda n, kind="variant": F.try_variant_get(self.document, "$" + "".join(f"['{x}']" for x in names[:n]), kind)
-        kinds = [F.schema_of_variant(get(n)) for n in range(len(names))]
-        ok = F.lit(True)
-        for k in kinds:
-            # an array on the way would be mapped over
-            ok = ok & ~F.coalesce(k.startswith("ARRAY"), F.lit(False))
-        end = get(len(names))
-        shape = F.schema_of_variant(end)
-        kind = F.when(end.isNull(), "u").when(shape == "VOID", "z").when(shape == "BOOLEAN", "b").when(shape == "STRING", "s").when(shape.rlike("^(BIGINT|DOUBLE|DECIMAL)"), "n").otherwise("?")
-        return Value(ok & (kind != "?"), kind, get(len(names), "boolean"), get(len(names), "double"), get(len(names), "string"))
+        names = tuple(self._names(node))
+        at = self.found.setdefault(names, f"_found.p{len(self.found)}")
+        part = lambda x: F.col(f"{at}.{x}")
+        return Value(part("ok"), part("kind"), part("boolean"), part("number"), part("string"))
+
+    def extracted(self) -> Column:
+        """A struct of what each path that the expressions name finds; each is read once a row."""
+
+        def one(names: tuple[str, ...]) -> Column:
+            get = lambda n, kind="variant": F.try_variant_get(self.document, "$" + "".join(f"['{x}']" for x in names[:n]), kind)
+            ok = F.lit(True)
+            for n in range(1, len(names)):
+                # an array on the way would be mapped over
+                ok = ok & ~F.coalesce(F.schema_of_variant(get(n)).startswith("ARRAY"), F.lit(False))
+            end = get(len(names))
+            shape = F.schema_of_variant(end)
+            kind = F.when(end.isNull(), "u").when(shape == "STRING", "s").when(shape.rlike("^(BIGINT|DOUBLE|DECIMAL)"), "n").when(shape == "BOOLEAN", "b").when(shape == "VOID", "z").otherwise("?")
+            return F.struct((ok & (kind != "?")).alias("ok"), kind.alias("kind"), get(len(names), "boolean").alias("boolean"), get(len(names), "double").alias("number"), get(len(names), "string").alias("string"))
+
+        return F.struct(F.lit(0).alias("none"), *[one(names).alias(at.partition(".")[2]) for names, at in self.found.items()])
 
     def _block(self, node):
         if len(node.parts) != 1:
@@ -172,21 +181,24 @@ def _json_of(x: Value) -> tuple[Column, Column]:
     return x.ok & ((x.kind != "n") | plain), out
 
 
-def native_action(plan, embeds_json: bool, value: Column) -> tuple[Column, Column] | None:
-    """(proven, action struct) for a plan, or None if a part of it isn't supported."""
+def native_action(plan, embeds_json: bool, log: DataFrame) -> tuple[DataFrame, Column, Column] | None:
+    """(log with what the expressions read of it, proven, action struct), or None if a part of the plan isn't supported."""
     if not plan.has_expressions:
         return None
-    text = value.cast("string")
-    document = F.try_parse_json(text)
-    # one strict JSON object: the parser alone would accept text after it
-    strict = F.is_valid_utf8(text) & text.rlike(r"^[ \t\r\n]*\{") & text.rlike(r"\}[ \t\r\n]*$") & document.isNotNull() & F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull()
-    strict = F.coalesce(strict & F.schema_of_variant(document).startswith("OBJECT"), F.lit(False))
+    value, text = F.col("value"), F.col("value").cast("string")
+    document = F.col("_document")
     try:
         native = Native(document, UNDEF if plan.variables is None else parse_json(plan.variables))
         drops, tombstones = [native.compile(parse(s)) for s in plan.drops], [native.compile(parse(s)) for s in plan.tombstones]
         projection = _projection(native, parse(plan.projection)) if plan.projection is not None else None
     except Unsupported:
         return None
+    # one strict JSON object: the parser alone would accept text after it, which brackets around it make an error
+    whole = F.when(F.is_valid_utf8(text), F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))))
+    one = F.coalesce(text.rlike(r"^[ \t\r\n]*\{") & text.rlike(r"\}[ \t\r\n]*$") & F.try_variant_get(whole, "$[1]", "variant").isNull(), F.lit(False))
+    log = _once(log, "_document", F.when(one, F.try_variant_get(whole, "$[0]", "variant")))
+    log = _once(log, "_found", native.extracted())
+    strict = document.isNotNull()
     if embeds_json and projection is None:
         return None
     ok = strict
@@ -211,7 +223,12 @@ def native_action(plan, embeds_json: bool, value: Column) -> tuple[Column, Colum
             out = F.when(hit, act(name, none, none)).otherwise(out)
     source = act("drop" if plan.drop_tombstones else "tombstone", none, none)
     proven = value.isNull() | F.coalesce(ok, F.lit(False))
-    return proven, F.when(value.isNull(), source).otherwise(out)
+    return log, proven, F.when(value.isNull(), source).otherwise(out)
+
+
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """A column that later expressions read and Spark doesn't compute again in each of them."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
 
 def _projection(native: Native, tree: Node) -> tuple[Column, Column]:
