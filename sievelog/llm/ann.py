@@ -2,8 +2,10 @@
 
 The trees are split on a bounded random sample (``SAMPLE`` vectors): a node's hyperplane lies halfway between two of its
 sample's points, and so down to leaves of about ``LEAF`` sample points. All distinct vectors are then filed under the leaf
-of each tree. A query walks all trees with one queue, ordered by the smallest margin on the way to a node, until it has
-enough leaves to expect ``candidates`` vectors; these leaves' vectors are compared with it exactly, in double precision.
+of each tree. A query walks all trees with one queue, ordered by the largest margin by which it is on the other side of a
+hyperplane on the way to a node, until the leaves that it has seen hold a set share of the vectors; these are compared
+with it exactly, in double precision. The share is the one that reaches the recall asked for within the sample, as brute
+force over the sample tells.
 
 Equal vectors are filed once, with their smallest ids (as many as a query may return, and one more, as its own is left
 out), and equal queries are searched once. Leaves are cut into pieces of about ``PIECE`` vectors, so a full leaf is shared
@@ -90,7 +92,7 @@ class Forest:
         margins = [(t.normals @ x - t.offsets) if len(t.normals) else t.offsets for t in self.trees]
         queue = [(-np.inf, i, t.root) for i, t in enumerate(self.trees)]
         heapq.heapify(queue)
-        found, have, enough = [], 0, share * self.size
+        found, have, enough = [], 0, share * self.size - 1e-6
         while queue and (have < enough or len(found) < len(self.trees)):
             slack, i, at = heapq.heappop(queue)
             while at >= 0:
@@ -103,11 +105,29 @@ class Forest:
         return found
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 10, key: str = "vec_id", vector: str = "embedding", candidates: int = 12_000, least_share: float = 0.05, seed: int = 0) -> DataFrame:
+    def share_for(self, sample: np.ndarray, recall: float, k: int, trials: int = 100) -> float:
+        """The share that finds ``recall`` of the k nearest in the sample, for evenly chosen rows of it, by brute force.
+
+        Of each true neighbour it is noted how much the search has seen when it comes to the first leaf that holds it.
+        """
+        leaves = [t.leaves(sample) for t in self.trees]
+        norms, needed = np.einsum("ij,ij->i", sample, sample), []
+        for q in np.linspace(0, len(sample) - 1, min(trials, len(sample))).astype(int):
+            near = norms - 2 * sample @ sample[q]
+            near[q] = np.inf
+            seen, first = 0, {}
+            for i, leaf in self.search(sample[q], float(len(self.trees))):
+                seen += self.trees[i].share[leaf]
+                first[(i, leaf)] = seen / self.size
+            top = min(k, len(sample) - 1)
+            needed += [min(first[(i, int(own[n]))] for i, own in enumerate(leaves)) for n in np.argpartition(near, top - 1)[:top]] if top else []
+        return float(np.quantile(needed, recall)) if needed else 1.0
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 10, key: str = "vec_id", vector: str = "embedding", recall: float = 0.95, seed: int = 0) -> DataFrame:
     """(query_id, rank, key, score): the k nearest found of ``vectors`` for each row of ``queries`` but itself, by key.
 
-    ``candidates``: vectors to compare a query with, counting one that several trees offer each time; at least
-    ``least_share`` of all.
+    ``recall``: what the search is set to find of the sample's true neighbours; it decides how many leaves are visited.
     """
     spark = vectors.sparkSession
     usable = lambda df, id_: df.where(F.col(vector).isNotNull() & (F.size(vector) > 0) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(vector, lambda x: x != 0)).select(F.col(key).alias(id_), F.transform(vector, lambda x: x.cast("double") + F.lit(0.0)).alias("v")).withColumn("h", F.unhex(F.md5(F.to_json(F.struct("v")))))
@@ -116,15 +136,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 10, key: str = "
     # the first k + 1 ids of equal vectors; Spark keeps no more than these of a group before the shuffle either
     firsts = ids.withColumn("nth", F.row_number().over(smallest)).where(F.col("nth") <= k + 1)
     distinct = durable(firsts.groupBy("h").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.min_by("v", "nth").alias("v")), "distinct-vectors")
-    count = distinct.count()
     sample = distinct.orderBy(F.xxhash64("h", F.lit(seed))).limit(SAMPLE).select("v").collect()
     schema = f"query_id {vectors.schema[key].dataType.simpleString()}, rank int, {key} {vectors.schema[key].dataType.simpleString()}, score double"
     if not sample:
         return spark.createDataFrame([], schema)
     lengths = [len(r.v) for r in sample]
     dim = max(sorted(set(lengths)), key=lengths.count)
-    forest = spark.sparkContext.broadcast(Forest(np.array([r.v for r in sample if len(r.v) == dim]), seed=seed))
-    share = max(least_share, candidates / count)
+    known = np.array([r.v for r in sample if len(r.v) == dim])
+    forest = Forest(known, seed=seed)
+    share = forest.share_for(known, recall, k)
+    forest = spark.sparkContext.broadcast(forest)
     distinct, asked = distinct.where(F.size("v") == dim), durable(usable(queries, "q").where(F.size("v") == dim), "queries")
 
     def matrix(column: pa.Array) -> np.ndarray:
