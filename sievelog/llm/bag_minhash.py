@@ -13,9 +13,9 @@ when it passes its document's latest register, so a document of n shingles takes
 
 Steps. 1: one pass makes each row's signature bands and the digest of its words. 2: rows with equal words are one node,
 with its bands once. 3: within a bucket (a band's value) nodes are verified against one of them, twice with different
-choices; only pairs of nodes whose classes still differ in a bucket are then verified in full. No pair of a bucket is
-looked at whose link could not change the classes, so groups of thousands of copies take one or two verified pairs a node
-and bucket. Verification is exact, on the bags of shingles. 4: classes are given to rows.
+choices; in buckets whose nodes are then still in several classes, every pair of different classes that can be a link is
+verified (``_rest`` tells which can). Groups of thousands of copies so take a few verified pairs a node, and no link of a
+bucket that joins two classes is lost. Verification is exact, on the bags of shingles. 4: classes are given to rows.
 
 With 32 bands of 6 registers, a pair of similarity 0.8 meets in a bucket with a probability of 0.99994, one of 0.9 surely.
 
@@ -145,7 +145,7 @@ def bands_of(registers: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def in_pieces(texts: list[str], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def in_pieces(texts: list[str], most: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``most`` characters; a longer text is a range of its own."""
     at = size = 0
     for i, t in enumerate(texts):
@@ -182,6 +182,59 @@ def _pairs(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def _rest(open_: DataFrame, compared, linked, could, similar: float) -> DataFrame:
+    """The links between classes that stars left apart, in buckets ``open_`` (bucket, node, n, label).
+
+    Each bucket has a pivot: the node that names its most frequent class. With i the overlap of a node's bag with the
+    pivot's, two nodes x and y overlap in min(i_x, i_y) at most, unless they share something that the pivot lacks. So of
+    all pairs in a bucket only these can be links, and are verified:
+
+    - pairs that share enough shingles that their pivot lacks to make up for the difference,
+    - pairs for which min(i_x, i_y) is overlap enough for their sizes.
+
+    Around a large group of near-copies these are few, as what a copy has besides its source is mostly its own. Nodes are
+    compared with their pivot once, whatever the number of buckets.
+    """
+    counts = open_.groupBy("bucket", "label").agg(F.count("*").alias("rows"))
+    pivots = counts.groupBy("bucket").agg(F.max_by("label", F.struct("rows", "label")).alias("pivot"))
+    rows = durable(open_.join(pivots, "bucket"), "pivoted")
+    near = rows.select(F.col("pivot").alias("a"), F.col("node").alias("b"), "n", "label").distinct()
+    near = compared(near).select(F.col("a").alias("pivot"), F.col("b").alias("node"), "n", "label", F.size("bag_a").alias("pivot_n"), F.size(F.array_intersect("bag_a", "bag_b")).alias("i"), F.array_except("bag_b", "bag_a").alias("other"))
+    near = durable(near, "near-pivots")
+    direct = near.where((F.col("pivot") != F.col("node")) & (F.col("i") >= similar * (F.col("n") + F.col("pivot_n") - F.col("i")))).select(*_pairs("pivot", "node"))
+
+    def apart(rows: DataFrame, *key: str) -> DataFrame:
+        """Rows whose key occurs in several classes."""
+        alike = Window.partitionBy(*key)
+        return rows.withColumns({"low": F.min("label").over(alike), "high": F.max("label").over(alike)}).where(F.col("low") != F.col("high")).drop("low", "high")
+
+    def crossed(rows: DataFrame, key: list[str], *conditions: Column, also: tuple[str, ...] = ()) -> DataFrame:
+        x, y = (rows.select(*key, *[F.col(c).alias(f"{c}_{side}") for c in rows.columns if c not in key]) for side in "xy")
+        test = (F.col("label_x") < F.col("label_y")) & could("n_x", "n_y")
+        for c in conditions:
+            test = test & c
+        return x.join(y, key).where(test).select(*_pairs("node_x", "node_y"), *also)
+
+    # a link of x shares at least similar * n - i of the shingles that the pivot lacks: of its e such shingles, taken in one
+    # order for all, rare ones first, one of the first e - that + 1 is then among the first of the other node too
+    shared = apart(near.select("pivot", F.explode("other").alias("shingle"), "node", "n", "label", "i"), "pivot", "shingle")
+    shared = shared.withColumn("holders", F.count("*").over(Window.partitionBy("pivot", "shingle")))
+    own = Window.partitionBy("pivot", "node")
+    first = F.col("e") - F.greatest(F.ceil(similar * F.col("n") - F.col("i") - 1e-9), F.lit(1)) + 1
+    shared = shared.withColumns({"place": F.row_number().over(own.orderBy("holders", "shingle")), "e": F.count("*").over(own)}).withColumn("first", first)
+    shared = shared.where(F.col("place") <= F.col("first")).select("pivot", "shingle", "node", "n", "label", "i", (F.col("e") - F.col("first")).alias("rest"))
+    sharing = crossed(shared, ["pivot", "shingle"], also=("n_x", "n_y", "i_x", "i_y", "rest_x", "rest_y"))
+    sharing = sharing.groupBy("a", "b", "n_x", "n_y", "i_x", "i_y", "rest_x", "rest_y").agg(F.count("*").alias("seen"))
+    most = F.least("i_x", "i_y") + F.col("seen") + F.col("rest_x") + F.col("rest_y")
+    sharing = sharing.where(most >= similar / (1 + similar) * (F.col("n_x") + F.col("n_y")) - 1e-9).select("a", "b")
+    # overlap o suffices for sizes m and n if o >= similar / (1 + similar) (m + n): the other's size can be ``room`` at most
+    room = F.col("i") * ((1 + similar) / similar) - F.col("n")
+    within = rows.select("bucket", "node", "pivot").join(near.drop("other"), ["pivot", "node"]).withColumn("room", room)
+    within = within.withColumn("least", F.min("n").over(Window.partitionBy("bucket"))).where(F.col("room") >= F.col("least")).select("bucket", "node", "n", "label", "room")
+    enough = crossed(apart(within, "bucket"), ["bucket"], F.col("room_x") >= F.col("n_y"), F.col("room_y") >= F.col("n_x"))
+    return linked(sharing.union(enough).distinct(), "links-rest").union(direct)
+
+
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
     """One row per row of ``docs``: key, class_id (smallest key of its class), class_size, copies (rows with equal words),
     kept (key is class_id)."""
@@ -203,39 +256,37 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     texts = marked.join(wanted, (marked["node"] == wanted["w"]) & marked["key"].eqNullSafe(wanted["r"])).select("node", "words")
     bags = durable(texts.mapInArrow(_bagged, "node binary, bag array<long>"), "bags")
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
+    def compared(pairs: DataFrame) -> DataFrame:
+        """(a, b) with both bags: weighted overlap is the overlap of tagged bags."""
         left, right = bags.select(F.col("node").alias("a"), F.col("bag").alias("bag_a")), bags.select(F.col("node").alias("b"), F.col("bag").alias("bag_b"))
+        return pairs.join(left, "a").join(right, "b")
+
+    def linked(pairs: DataFrame, name: str) -> DataFrame:
+        """Those of the pairs (a, b) that are similar enough."""
         both = F.size(F.array_intersect("bag_a", "bag_b"))
-        looked = pairs.join(left, "a").join(right, "b").select("a", "b", (both / (F.size("bag_a") + F.size("bag_b") - both)).alias("similarity"))
-        return durable(looked.groupBy("a", "b").agg(F.max("similarity").alias("similarity")), name)
+        good = compared(pairs).where(both >= similar * (F.size("bag_a") + F.size("bag_b") - both))
+        return durable(good.select("a", "b").distinct(), name)
 
     def could(n: str, other: str) -> Column:
         return F.least(n, other) >= similar * F.greatest(n, other)
 
-    done = links = labels = None
-    for turn in range(3):
-        if labels is None:
-            open_ = met.withColumn("label", F.col("node"))
-        else:
-            named = met.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            apart = named.withColumns({"low": F.min("label").over(alike), "high": F.max("label").over(alike)}).where(F.col("low") != F.col("high"))
-            open_ = durable(apart.select("bucket", "node", "n", "label"), "open-buckets")
-        if turn < 2:
-            # one node of each bucket, another each turn; the rest against it
-            order = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("c"), F.col("n").alias("cn"), F.col("label").alias("cl"))
-            star = open_.withColumn("centre", F.min(order).over(alike)).select("node", "n", "label", "centre.*")
-            pairs = star.where((F.col("label") != F.col("cl")) & could("n", "cn")).select(*_pairs("node", "c")).distinct()
-        else:
-            # what is still apart: every pair of different classes in a bucket
-            x, y = open_.select("bucket", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx")), open_.select("bucket", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("label").alias("ly"))
-            pairs = x.join(y, "bucket").where((F.col("lx") < F.col("ly")) & could("nx", "ny")).select(*_pairs("x", "y")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        looked = verified(pairs, f"looked-{turn}")
-        done = looked.select("a", "b") if done is None else done.union(looked.select("a", "b"))
-        good = looked.where(F.col("similarity") >= similar).select("a", "b")
+    def still_open(labels: DataFrame) -> DataFrame:
+        """Rows of buckets whose nodes are in several classes so far."""
+        named = met.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        apart = named.withColumns({"low": F.min("label").over(alike), "high": F.max("label").over(alike)}).where(F.col("low") != F.col("high"))
+        return durable(apart.select("bucket", "node", "n", "label"), "open-buckets")
+
+    links, open_ = None, met.withColumn("label", F.col("node"))
+    for turn in range(2):
+        # one node of each bucket, another each turn; those of other classes against it
+        order = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("c"), F.col("n").alias("cn"), F.col("label").alias("cl"))
+        star = open_.withColumn("centre", F.min(order).over(alike)).select("node", "n", "label", "centre.*")
+        good = linked(star.where((F.col("label") != F.col("cl")) & could("n", "cn")).select(*_pairs("node", "c")).distinct(), f"links-{turn}")
         links = good if links is None else links.union(good)
-        labels = components(links)
+        open_ = still_open(components(links))
+    links = durable(links.union(_rest(open_, compared, linked, could, similar)), "all-links")
+    labels = components(links)
+
     labelled = nodes.join(labels, "node", "left").select("node", "rep", "copies", F.coalesce("label", "node").alias("label"))
     labelled = durable(labelled, "labelled")
     classes = labelled.groupBy("label").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"))
