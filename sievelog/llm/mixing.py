@@ -140,7 +140,8 @@ def mix(rows: DataFrame, weights: Sequence[float], *, most: float = 3.0, block:
     placed = placed.join(by_source, placed["source"].eqNullSafe(by_source["s"])).drop("s")
     placed = durable(placed, "placed")
     spans = placed.where(F.col("size") > 0).select("rank", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block"))
-    taken = spans.join(slots(plan, block, shard), ["rank", "block"])
+    # slots come of a few rows of the plan but are as many as blocks: never to be broadcast
+    taken = spans.join(slots(plan, block, shard).hint("merge"), ["rank", "block"])
     begin = F.greatest(F.col("start"), F.col("block") * block)
     end = F.least(F.col("start") + F.col("size"), F.col("block") * block + F.col("slot_words"))
     pieces = taken.where(end > begin).select("rank", "start", "shard", "place", "epoch", (begin - F.col("start")).alias("word_from"), (end - begin).alias("words"))
