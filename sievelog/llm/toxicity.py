@@ -1,15 +1,16 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences. A sentence is toxic with probability sigmoid(bias + the weights of its distinct words);
-a document is by noisy-or: 1 - prod(1 - p). Weights are trained from document labels alone, and the sentence probabilities
-then locate what offends. A word's weight is that of the word itself and of its first four and five letters, so inflected
+A document is a bag of sentences. With s the weights of its distinct words, a sentence isn't toxic with probability
+(1 + e^bias) / (1 + e^(bias + s)): surely not if no word is known, however many such sentences there are. A document is by
+noisy-or: 1 - prod(1 - p). Weights are trained from document labels alone, and the sentence probabilities then locate what
+offends. A word's weight is that of the word itself and of its first four and five letters, so inflected
 and compounded forms of an offensive stem are found too.
 
-Training uses a bounded sample of labelled rows (``SAMPLE`` rows of at most ``SAMPLE_CHARS`` characters, those whose keys
-come first in hash order); scoring reads every document whole.
+Training uses a bounded sample of labelled rows (``SAMPLE`` rows, those whose keys come first in hash order); training and
+scoring read every document whole, however long.
 
 Defined cases: null and empty texts, and texts without letters, score 0; null labels aren't learned from; no labels of
-both kinds to learn from: everything scores 0; repeated rows score alike.
+both kinds to learn from: everything scores 0; repeated rows are learned from once and score alike.
 """
 
 from __future__ import annotations
@@ -23,15 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE, SAMPLE_CHARS = 6000, 20_000
+SAMPLE = 6000
 #: Features must occur in so many sampled documents, and their rates in the two classes differ by so many standard errors.
 LEAST_DOCS, LEAST_Z = 3, 3.5
 REMEMBERED = 500_000
+#: What a sentence's words must outweigh.
+BIAS = -8.0
 
 SENTENCE_END = re.compile(r"[.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
-#: From a sentence's first letter to its end: one match for each sentence that has words.
-WORDED = re.compile(r"[^\W\d_][^.!?\n]*")
 
 
 def features(word: str) -> list[str]:
@@ -54,50 +55,61 @@ def bags(text: str) -> list[set[str]]:
     return [words for s in SENTENCE_END.split(lowered) if (words := set(WORD.findall(s)))]
 
 
-def fit(rows: list[tuple[str, int]], *, steps: int = 400, rate: float = 0.1, l2: float = 1e-4) -> dict:
+def tells(c0, c1, n0, n1):
+    """Whether a feature of c0 of n0 clean and c1 of n1 toxic documents is learned. Of numbers or of columns."""
+    mean = (c0 + c1) / (n0 + n1)
+    gap = c1 / n1 - c0 / n0
+    # squared, as columns have no numpy root; rates of 1 leave no error, and no gap
+    return (c0 + c1 >= LEAST_DOCS) & (gap > 0) & (gap * gap >= LEAST_Z**2 * mean * (1 - mean) * (1 / n0 + 1 / n1))
+
+
+def evidence(text: str, at: dict[str, int]) -> Counter:
+    """How many of the text's sentences hold which learned features; sentences without any aren't counted."""
+    return Counter(tuple(sorted(found)) for words in bags(text) if (found := [i for word in words for f in features(word) if (i := at.get(f)) is not None]))
+
+
+def fit(rows: list[tuple[str, int]], **how) -> dict:
     """The model from (text, label) rows: {"bias", "weights"}. Plain data, so that it can be sent and stored."""
-    docs = [(bags(text or ""), int(y)) for text, y in rows]
-    y = np.array([label for _, label in docs], float)
-    if not len(y) or y.min() == y.max():
+    labels, by_class = Counter(int(y) for _, y in rows), [Counter(), Counter()]
+    if len(labels) < 2:
         return {"bias": -50.0, "weights": {}}
-    by_class = [Counter(), Counter()]
-    for sets, label in docs:
-        by_class[label].update({f for words in sets for word in words for f in features(word)})
-    n0, n1 = (y == 0).sum(), (y == 1).sum()
-    kept = []
-    for f, c1 in by_class[1].items():
-        c0 = by_class[0][f]
-        mean = (c0 + c1) / (n0 + n1)
-        if c0 + c1 >= LEAST_DOCS and c1 / n1 - c0 / n0 >= LEAST_Z * np.sqrt(max(mean * (1 - mean), 1e-12) * (1 / n0 + 1 / n1)):
-            kept.append(f)
-    at = {f: i for i, f in enumerate(sorted(kept))}
-    index, instance, doc_of, empty = [], [], [], np.zeros(len(docs))
-    for d, (sets, _) in enumerate(docs):
-        for words in sets:
-            found = [i for word in words for f in features(word) if (i := at.get(f)) is not None]
-            if found:
-                index += found
-                instance += [len(doc_of)] * len(found)
-                doc_of.append(d)
-            else:
-                empty[d] += 1
+    for text, label in rows:
+        by_class[label].update({f for words in bags(text or "") for word in words for f in features(word)})
+    kept = sorted(f for f, c1 in by_class[1].items() if tells(by_class[0][f], c1, labels[0], labels[1]))
+    at = {f: i for i, f in enumerate(kept)}
+    return descend(kept, [(int(y), list(evidence(text or "", at).items())) for text, y in rows], **how)
+
+
+def descend(kept: list[str], docs: list[tuple[int, list]], *, steps: int = 400, rate: float = 0.1, l2: float = 1e-4) -> dict:
+    """The model from each document's label and the (features, times) of its sentences with evidence.
+
+    Weights are kept at 0 or above, so that no sentence is less likely toxic than one without evidence, which isn't at all.
+    """
+    index, instance, doc_of, times = [], [], [], []
+    for d, (_, own) in enumerate(docs):
+        for found, n in own:
+            index += found
+            instance += [len(doc_of)] * len(found)
+            doc_of.append(d)
+            times.append(n)
     index, instance, doc_of = (np.array(x, np.int64) for x in (index, instance, doc_of))
-    w, bias = np.zeros(len(at) + 1), -np.log(max(1.0, np.mean([len(s) for s, _ in docs])) * n0 / n1)
-    w[-1] = bias
+    times, y = np.array(times, float), np.array([label for label, _ in docs], float)
+    # from 1, as at 0 a toxic document has no slope to speak of
+    w = np.ones(len(kept))
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, steps + 1):
-        s = w[-1] + np.bincount(instance, w[index], len(doc_of))
-        p, p0 = 1 / (1 + np.exp(-s)), 1 / (1 + np.exp(-w[-1]))
-        # log of the probability that no sentence is toxic; log(1 - sigmoid(s)) = -log(1 + e^s)
-        none = -np.bincount(doc_of, np.logaddexp(0, s), len(docs)) - empty * np.logaddexp(0, w[-1])
-        some = np.maximum(-np.expm1(none), 1e-12)
-        slope = np.where(y == 1, -np.exp(none) / some, 1.0)
-        g = np.bincount(index, (slope[doc_of] * p)[instance], len(w)).astype(float)
-        g[-1] = (slope[doc_of] * p).sum() + (slope * empty).sum() * p0
-        g = g / len(docs) + l2 * np.append(w[:-1], 0)
+        s = BIAS + np.bincount(instance, w[index], len(doc_of))
+        p = 1 / (1 + np.exp(-s))
+        # log of the probability that no sentence is toxic, each by what its words add to the bias
+        none = -np.bincount(doc_of, times * (np.logaddexp(0, s) - np.logaddexp(0, BIAS)), len(docs))
+        some = np.maximum(-np.expm1(none), 1e-6)
+        slope = (np.where(y == 1, -np.exp(none) / some, 1.0))[doc_of] * times
+        g = np.bincount(index, (slope * p)[instance], len(w))
+        g = g / len(docs) + l2 * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return {"bias": float(w[-1]), "weights": {f: float(w[i]) for f, i in at.items()}}
+        w = np.maximum(w, 0)
+    return {"bias": BIAS, "weights": {f: float(x) for f, x in zip(kept, w)}}
 
 
 class Scorer:
@@ -118,8 +130,8 @@ class Scorer:
         base = float(np.logaddexp(0, self.bias))
         lowered = text.lower()
         if not any(map(self.weight, set(WORD.findall(lowered)))):
-            # no word of this document says anything: all of its sentences are alike
-            return float(-np.expm1(-base * len(WORDED.findall(lowered)))), found
+            # no word of this document says anything
+            return 0.0, found
         # lower-casing can change lengths; offsets then come from the text as it is
         source = text if len(lowered) == len(text) else None
         for start, end in sentences(lowered if source is not None else text):
@@ -130,29 +142,51 @@ class Scorer:
             for word in words:
                 w = known.get(word)
                 s += self.weight(word) if w is None else w
-            if s == 0.0:
-                total += base
+            if s <= 0.0:
                 continue
-            s += self.bias
-            total += float(np.logaddexp(0, s))
-            if s >= 0:
-                found.append((start, end, float(1 / (1 + np.exp(-s)))))
+            none = float(np.logaddexp(0, self.bias + s)) - base
+            total += none
+            if (p := float(-np.expm1(-none))) >= 0.5:
+                found.append((start, end, p))
         return float(-np.expm1(-total)), found
 
 
 def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", learn_from=None) -> dict:
     """Fit on the sample. ``learn_from``: a condition on the key of rows that may be learned from.
 
-    Only the sample's texts reach the driver: SAMPLE x SAMPLE_CHARS characters at most.
+    Texts stay where they are: the driver gets the sample's keys, the features that tell, and which sentences hold them.
     """
-    some = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("_k"), F.col(label).alias("_y"))
+    some = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y"))
     if learn_from is not None:
         some = some.where(learn_from("_k"))
-    short = docs.where(F.length(text) <= SAMPLE_CHARS).select(F.col(key).alias("_k"), F.col(text).alias("_t"))
-    # twice as many ids as rows wanted, as some have no text or a long one
+    # twice as many ids as rows wanted, as some have no text
     ids = some.orderBy(F.xxhash64("_k"), "_k", "_y").limit(2 * SAMPLE)
-    rows = short.join(F.broadcast(ids), "_k").orderBy(F.xxhash64("_k"), "_k", "_t", "_y").limit(SAMPLE).select("_t", "_y").collect()
-    return fit([(r[0], r[1]) for r in rows])
+    texts = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("_k"), F.col(text).alias("_t"), F.xxhash64(text).alias("_h"))
+    keys = texts.select("_k", "_h").join(F.broadcast(ids), "_k").distinct().orderBy(F.xxhash64("_k"), "_k", "_h", "_y").limit(SAMPLE).select("_k", "_h", "_y")
+    chosen = keys.collect()
+    n = Counter(r["_y"] for r in chosen)
+    if len(n) < 2:
+        return fit([])
+    rows = texts.join(F.broadcast(docs.sparkSession.createDataFrame(chosen, keys.schema)), ["_k", "_h"]).select("_k", "_h", "_y", "_t")
+    head, columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:3]), ["_k", "_h", "_y"]
+
+    def mapped(make, kind: str, arrow: pa.DataType) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([make(x.as_py()) for x in batch.column(3)], arrow)], names=[*columns, "_f"])
+
+        # rows with one key, text and label are learned from once
+        return rows.mapInArrow(run, f"{head}, _f {kind}").dropDuplicates(columns)
+
+    def named(text: str) -> list[str]:
+        return sorted({f for word in set(WORD.findall(text.lower())) for f in features(word)})
+
+    counts = mapped(named, "array<string>", pa.list_(pa.string())).select("_y", F.explode("_f").alias("f")).groupBy("f").agg(*[F.sum((F.col("_y") == y).cast("long")).alias(f"c{y}") for y in (0, 1)])
+    kept = sorted(r.f for r in counts.where(tells(F.col("c0"), F.col("c1"), n[0], n[1])).select("f").collect())
+    at = {f: i for i, f in enumerate(kept)}
+    pairs = pa.list_(pa.struct([("i", pa.list_(pa.int32())), ("n", pa.int64())]))
+    found = mapped(lambda text: [{"i": list(i), "n": n} for i, n in sorted(evidence(text, at).items())], "array<struct<i:array<int>,n:bigint>>", pairs)
+    return descend(kept, [(r["_y"], [(p.i, p.n) for p in r["_f"]]) for r in found.orderBy("_k", "_h", "_y").select("_y", "_f").collect()])
 
 
 def score(docs: DataFrame, model: dict, *, key: str = "doc_id", text: str = "text") -> DataFrame:

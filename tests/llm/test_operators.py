@@ -1,6 +1,7 @@
 """Each operator on small tables with nulls, empty and long texts, ties, repeated rows and clashing columns, against brute force."""
 
 import hashlib
+import math
 import random
 from collections import Counter, defaultdict
 
@@ -214,6 +215,17 @@ def test_line_dedup(spark, rows, bits):
 # 6, 10
 
 
+def test_toxicity_learns_from_long_documents_as_they_are(spark):
+    texts = [(i, f"fine words {i % 7}. " * 2000 + "a grobbly end" * (i % 4 == 0)) for i in range(60)]
+    labels = [(i, int(i % 4 == 0)) for i in range(60)]
+    model = toxicity.train(spark.createDataFrame([*texts, *texts], "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    own = toxicity.fit([(t, y) for (_, t), (_, y) in zip(texts, labels)])
+    assert set(model["weights"]) == set(own["weights"]) and "grobbly" in own["weights"]
+    assert all(math.isclose(model["weights"][f], own["weights"][f], rel_tol=1e-6) for f in own["weights"])
+    scorer = toxicity.Scorer(model)
+    assert all((scorer.document(t)[0] >= 0.5) == y for (_, t), (_, y) in zip(texts, labels))
+
+
 def test_models_over_tables(spark, rows):
     table = docs(spark, rows)
     labels = spark.createDataFrame([(i, int(i % 2)) for i in range(60)] + [(1, None), (None, 1)], "doc_id long, toxic int")

@@ -148,6 +148,16 @@ def test_toxicity_learns_words_from_documents_and_finds_sentences():
     assert toxicity.Scorer(toxicity.fit([])).document("a b")[0] < 1e-9
 
 
+def test_toxicity_does_not_grow_with_clean_length():
+    rng = random.Random(1)
+    plain = ["".join(rng.choices("aeioulmnrst", k=5)) for _ in range(300)]
+    text = lambda n, *more: ". ".join([" ".join(rng.choices(plain, k=8)) for _ in range(n)] + list(more))
+    rows = [(text(10, *["a grobbly end"] * (i % 4 == 0)), int(i % 4 == 0)) for i in range(300)]
+    scorer = toxicity.Scorer(toxicity.fit(rows))
+    assert scorer.document(text(10_000))[0] < 0.5 <= scorer.document(text(10_000, "a grobbly end"))[0]
+    assert scorer.document("abc. " * 1_000_000)[0] == 0
+
+
 def test_forward_backward_against_all_sequences():
     rng = np.random.default_rng(2)
     emission, transition = rng.normal(size=(1, 4, 3)), rng.normal(size=(3, 3))
