@@ -1,10 +1,16 @@
-"""Command line: ``python -m sievelog -t TOPIC --log PATH …`` reads a Parquet log; with ``-b`` it reads Kafka."""
+"""Command line: ``python -m sievelog -t TOPIC --log PATH …`` reads a Parquet log; with ``-b`` it reads Kafka.
+
+A run with an end is a batch query. One without follows the log, until its counts are reached or it is interrupted.
+"""
 
 from __future__ import annotations
 
 import argparse
+import dataclasses
 import sys
+import tempfile
 import time
+import uuid
 
 from .query import LogQuery
 
@@ -65,6 +71,76 @@ def _joined(argv: list[str]) -> list[str]:
     return out
 
 
+class _Reader:
+    """``out``, and whether its reader has gone."""
+
+    def __init__(self, out):
+        self.out, self.gone = out, False
+
+    def _try(self, do, *args):
+        try:
+            return do(*args)
+        except BrokenPipeError:
+            self.gone = True
+            raise
+
+    def write(self, data):
+        return self._try(self.out.write, data)
+
+    def flush(self):
+        return self._try(self.out.flush)
+
+
+def follow(spark, query: LogQuery, path: str | None, out) -> None:
+    """Write records as they come. Counts end the run once each is reached, as does a reader that has gone."""
+    from pyspark.sql import functions as F
+
+    from ..sources import kafka, parquet_log
+    from ..streaming import run as streaming
+    from .query import parse_duration
+    from .sink import to_stream
+
+    if path is not None:
+        parquet_log.register(spark)
+        stream, stored = spark.readStream.format("sievelog").options(path=path).load(), parquet_log.read(spark, path)
+    else:
+        stream = kafka.read(spark, query)
+        stored = kafka.read(spark, dataclasses.replace(query, offsets=(), exit_at_end=True))
+    reader, wanted = _Reader(out), query.count
+    if query.count_per_partition is not None:
+        selected = query.selected_partitions()
+        wanted = query.count_per_partition * (len(selected) if selected else stored.where(F.col("topic") == query.topic).select("partition").distinct().count())
+
+    def write(df, number: int) -> None:
+        # kept, as sorting reads a batch twice, and what is observed would count twice
+        df = df.persist()
+        try:
+            to_stream(df if query.unordered else df.orderBy("partition", "offset"), reader, query.unbuffered)
+        finally:
+            df.unpersist()
+
+    say = (lambda text: print(text, file=sys.stderr, flush=True)) if (query.stats or query.stats_interval) and not query.quiet else (lambda text: None)
+    listener, every = streaming.StatsListener(say), None if query.stats_interval is None else parse_duration(query.stats_interval) / 1000
+    spark.streams.addListener(listener)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+    try:
+        running = streaming.start(query, stream, write, f"{shared.rstrip('/')}/follow-{uuid.uuid4().hex}", stored=stored)
+        try:
+            last = time.monotonic()
+            while not running.awaitTermination(0.1):
+                if reader.gone or wanted is not None and listener.total["admitted"] >= wanted:
+                    break
+                # by the clock, whether or not there are records
+                if every is not None and time.monotonic() - last >= every:
+                    last = time.monotonic()
+                    listener.report()
+        finally:
+            running.stop()
+            listener.ended.wait(10)
+    finally:
+        spark.streams.removeListener(listener)
+
+
 def main(argv: list[str] | None = None, out=None, spark=None) -> int:
     """Exit status: 0 done, 1 failed while running, 2 wrong options, 130 interrupted."""
     try:
@@ -88,6 +164,9 @@ def main(argv: list[str] | None = None, out=None, spark=None) -> int:
     began, out = time.monotonic(), out or sys.stdout.buffer
     try:
         spark = spark or SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
+        if not query.bounded:
+            follow(spark, query, path, out)
+            return 0
         log = parquet_log.read(spark, path) if path is not None else kafka.read(spark, query)
         rendered = query.ordered(log)
         if not query.unordered:

@@ -20,7 +20,8 @@ def _offsets(topic: str, partitions: list[int] | None, value: int | str) -> str:
 def options(query: LogQuery, partitions: list[int] | None = None, streaming: bool = False) -> dict[str, str]:
     """Reader options. ``partitions``: all of the topic's, needed where each gets an offset of its own.
 
-    A start relative to the end has no option of its own: the reader starts early, and ``ranges.bounded`` cuts.
+    A start relative to the end has no option of its own: the reader starts early, and ``ranges.bounded`` or, in
+    a stream, ``streaming.run.resolved`` and ``admitted`` cut.
     """
     selected = query.selected_partitions() or partitions
     start, end = query.positions()

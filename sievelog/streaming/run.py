@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable, Iterator
 
@@ -14,10 +15,40 @@ from ..operators.transform import emitted, raising, transform
 from ..plans.query import LogQuery, parse_duration
 
 
-def admitted(query: LogQuery, log: DataFrame) -> DataFrame:
-    """The stream's records in the query's partitions and absolute offsets; other positions are the source's to resolve."""
+LIMITS = "partition int, low long, high long, start long, end long"
+
+
+def resolved(query: LogQuery, stored: DataFrame | None, checkpoint: str) -> DataFrame | None:
+    """What ``ranges.boundaries`` says of the log as it is when the stream first starts; None if no position needs it.
+
+    Kept with the checkpoint: a restart goes on within the boundaries that the first start found.
+    """
+    start, end = query.positions()
+    if start.kind in ("beginning", "offset") and (end is None or end.kind in ("offset", "snapshot")):
+        return None
+    if stored is None:
+        raise ValueError("a start relative to the end and timestamps need the stored log")
+    spark, path = stored.sparkSession, f"{checkpoint}/boundaries"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        own = ranges.select_partitions(stored.where(F.col("topic") == query.topic), query.selected_partitions())
+        ranges.boundaries(own, start, end).coalesce(1).write.mode("overwrite").parquet(path)
+    return spark.read.schema(LIMITS).parquet(path)
+
+
+def admitted(query: LogQuery, log: DataFrame, limits: DataFrame | None = None) -> DataFrame:
+    """The stream's records in the query's partitions and positions. ``limits``: of ``resolved``, where it gives any.
+
+    A partition that came up later has no limits: it is followed from its first record, and outside of a run with an end.
+    """
     start, end = query.positions()
     log = ranges.select_partitions(log.where(F.col("topic") == query.topic), query.selected_partitions())
+    if limits is not None:
+        edges = limits.select(F.col("partition").alias("_partition"), F.col("start").alias("_start"), F.col("end").alias("_end"))
+        columns = log.columns
+        log = log.join(F.broadcast(edges), F.col("partition") == F.col("_partition"), "inner" if end is not None else "left")
+        log = log.where(F.col("_start").isNull() | (F.col("offset") >= F.col("_start")))
+        log = (log if end is None else log.where(F.col("offset") < F.col("_end"))).select(*columns)
     if start.kind == "offset":
         log = log.where(F.col("offset") >= start.value)
     if end is not None and end.kind == "offset":
@@ -45,19 +76,20 @@ def first_of_each(log: DataFrame, n: int) -> DataFrame:
     return log.groupBy("partition").applyInPandasWithState(keep, log.schema, "seen long", "append", GroupStateTimeout.NoTimeout)
 
 
-def transformed(query: LogQuery, log: DataFrame) -> DataFrame:
-    acted = raising(transform(admitted(query, log), query.plan(), embeds_json=query.embeds_json))
+def transformed(query: LogQuery, log: DataFrame, limits: DataFrame | None = None) -> DataFrame:
+    acted = raising(transform(admitted(query, log, limits), query.plan(), embeds_json=query.embeds_json))
     return acted.withColumn("rendered", query.rendered_column())
 
 
-def start(query: LogQuery, log: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, name: str | None = None) -> StreamingQuery:
+def start(query: LogQuery, log: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, name: str | None = None, stored: DataFrame | None = None) -> StreamingQuery:
     """Run ``write`` on each batch of emitted records, in order of partition and offset unless the query is unordered.
 
     A query with an end reads what is there when it starts and stops; one without follows until it is stopped. The
-    checkpoint makes a restart go on where the last batch ended.
+    checkpoint makes a restart go on where the last batch ended. ``stored``: the same log as a batch frame, by which starts
+    relative to the end and timestamps are resolved; such a query is an error without it.
     """
-    acted = transformed(query, log)
-    if query.stats or query.stats_interval is not None:
+    acted = transformed(query, log, resolved(query, stored, checkpoint))
+    if query.stats or query.stats_interval is not None or query.count is not None or query.count_per_partition is not None:
         acted = acted.observe("stats", *stats.counters())
 
     def batch(df: DataFrame, number: int) -> None:
@@ -76,9 +108,9 @@ class StatsListener(StreamingQueryListener):
     def __init__(self, say: Callable[[str], None], interval: str | None = None):
         self.say, self.every = say, None if interval is None else parse_duration(interval) / 1000
         self.began = self.last = time.monotonic()
-        self.total = dict.fromkeys(stats.COUNTERS, 0)
+        self.total, self.ended = dict.fromkeys(stats.COUNTERS, 0), threading.Event()
 
-    def _report(self) -> None:
+    def report(self) -> None:
         self.say(stats.report(self.total, int(1000 * (time.monotonic() - self.began))))
 
     def onQueryStarted(self, event) -> None:
@@ -91,10 +123,11 @@ class StatsListener(StreamingQueryListener):
                 self.total[n] += row[n] or 0
         if self.every is not None and time.monotonic() - self.last >= self.every:
             self.last = time.monotonic()
-            self._report()
+            self.report()
 
     def onQueryIdle(self, event) -> None:
         pass
 
     def onQueryTerminated(self, event) -> None:
-        self._report()
+        self.report()
+        self.ended.set()

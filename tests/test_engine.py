@@ -1,4 +1,6 @@
 import io
+import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from sievelog.plans.query import LogQuery, OptionError, parse_duration, parse_pr
 from sievelog.plans.sink import to_stream
 from sievelog.schema import RECORD
 from sievelog.sources import kafka, parquet_log
+from sievelog.streaming import run as streaming
 
 
 def records(spark, *values, partition=0, topic="events"):
@@ -235,3 +238,54 @@ def test_stored_log_and_command_line(spark, tmp_path):
     assert main(["-t", "events", "--log", "x", "--check"]) == 0
     buffer = io.BytesIO()
     assert to_stream(LogQuery("events").ordered(records(spark, b"a", b"b")), buffer) == 4 and buffer.getvalue() == b"a\nb\n"
+
+
+# streams
+
+
+def streamed(spark, path, state, **options):
+    parquet_log.register(spark)
+    found = []
+    stream = spark.readStream.format("sievelog").options(path=path).load()
+    query = LogQuery("events", **options)
+    running = streaming.start(query, stream, lambda df, n: found.extend((r.partition, r.offset) for r in df.collect()), f"file://{state}", stored=parquet_log.read(spark, f"file://{path}"))
+    running.processAllAvailable() if not query.bounded else running.awaitTermination()
+    running.stop()
+    return sorted(found)
+
+
+@pytest.mark.parametrize(("options", "expected"), [
+    ({"offsets": ("-2",), "snapshot": True}, [(0, 3), (0, 4), (1, 0)]), ({"offsets": ("-2",)}, [(0, 3), (0, 4), (1, 0)]), ({"offsets": ("end",)}, []),
+    ({"offsets": ("s@250", "e@450")}, [(0, 2), (0, 3)]), ({"offsets": ("e@200",)}, [(0, 0), (1, 0)]), ({"offsets": ("s@9999",), "exit_at_end": True}, []), ({"offsets": ("3",), "end_offset": 4}, [(0, 3)]),
+])
+def test_stream_positions(spark, tmp_path, options, expected):
+    parquet_log.write(records(spark, b"a", b"b", b"c", b"d", b"e").union(records(spark, b"f", partition=1)), f"file://{tmp_path}/log")
+    assert streamed(spark, f"{tmp_path}/log", f"{tmp_path}/state", **options) == expected
+
+
+def test_restart_keeps_the_first_boundaries(spark, tmp_path):
+    log = records(spark, b"a", b"b", b"c", b"d", b"e")
+    parquet_log.write(log.where("offset < 2"), f"file://{tmp_path}/log")
+    assert streamed(spark, f"{tmp_path}/log", f"{tmp_path}/state", offsets=("-1",)) == [(0, 1)]
+    parquet_log.write(log.where("offset >= 2"), f"file://{tmp_path}/log", "append")
+    assert streamed(spark, f"{tmp_path}/log", f"{tmp_path}/state", offsets=("-1",)) == [(0, 2), (0, 3), (0, 4)]
+    with pytest.raises(ValueError):
+        streaming.start(LogQuery("events", offsets=("-1",)), None, None, "unused")
+
+
+def test_command_line_follows(spark, tmp_path, capsys):
+    log, out, codes = records(spark, b"a", b"b", b"c", b"d", b"e"), io.BytesIO(), []
+    parquet_log.write(log.where("offset < 3"), f"file://{tmp_path}/log")
+    argv = ["-t", "events", "--log", f"{tmp_path}/log", "-o", "-2", "-c", "3", "-f", "%o%s ", "--stats-interval", "200ms"]
+    running = threading.Thread(target=lambda: codes.append(main(argv, out, spark)), daemon=True)
+    running.start()
+    until = time.monotonic() + 60
+    while out.getvalue() != b"1b 2c " and time.monotonic() < until:
+        time.sleep(0.1)
+    assert out.getvalue() == b"1b 2c " and running.is_alive()
+    time.sleep(1)
+    parquet_log.write(log.where("offset >= 3"), f"file://{tmp_path}/log", "append")
+    running.join(60)
+    assert codes == [0] and out.getvalue() == b"1b 2c 3d "
+    said = capsys.readouterr().err.splitlines()
+    assert sum("admitted=2 " in line for line in said) >= 2 and "admitted=3 " in said[-1]
