@@ -12,7 +12,8 @@ out), and equal queries are searched once. Leaves are cut into pieces of about `
 by many tasks. The trees, whose size depends on the sample alone, are broadcast.
 
 Defined cases: vectors that are null, all zero, or hold null or non-finite components take no part; neither do those whose
-length isn't the sample's most frequent one; equal distances are ordered by id; fewer than ``k`` other vectors: all of
+length isn't the sample's most frequent one, nor those without an id as candidates; equal distances are ordered by id, and
+of the vectors seen none is left out for another at the same distance with a greater id; fewer than ``k`` other vectors: all of
 them; rows with one id and several vectors are each a candidate, and a query; rows with one id and one vector count once.
 """
 
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -155,7 +157,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 10, key: str = "
         for batch in batches:
             x = matrix(batch.column(1))
             for i, tree in enumerate(forest.value.trees):
-                yield pa.RecordBatch.from_arrays([pa.array(tree.leaves(x) * len(forest.value.trees) + i), *batch.columns], names=["leaf", "h", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(tree.leaves(x) * len(forest.value.trees) + i), *batch.columns], names=["leaf", "h", "v", "id"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,32 +166,43 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 10, key: str = "
                 same = pa.array(np.full(len(found), n))
                 yield pa.RecordBatch.from_arrays([pa.array(found), batch.column(0).take(same), batch.column(1).take(same)], names=["leaf", "qh", "qv"])
 
-    filed = distinct.select("h", "v").mapInArrow(file, "leaf long, h binary, v array<double>")
+    kind = vectors.schema[key].dataType.simpleString()
+    filed = distinct.where(F.size("ids") > 0).select("h", "v", F.col("ids")[0].alias("id")).mapInArrow(file, f"leaf long, h binary, v array<double>, id {kind}")
     sizes = durable(filed.groupBy("leaf").agg(F.ceil(F.count("*") / PIECE).alias("pieces")), "leaf-sizes")
-    filed = filed.join(sizes, "leaf").select("leaf", F.pmod(F.xxhash64("h"), "pieces").alias("piece"), "h", "v")
+    filed = filed.join(sizes, "leaf").select("leaf", F.pmod(F.xxhash64("h"), "pieces").alias("piece"), "h", "v", "id")
     probes = asked.groupBy("h").agg(F.first("v").alias("v")).select("h", "v").mapInArrow(probe, "leaf long, qh binary, qv array<double>")
     probes = probes.join(sizes, "leaf").select("leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"), "qh", "qv")
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = pa.schema([("qh", pa.binary()), ("h", pa.binary()), ("score", pa.float64())])
+        out = pa.schema([("qh", pa.binary()), ("h", pa.binary()), ("id", left.schema.field("id").type), ("score", pa.float64())])
         if not left.num_rows or not right.num_rows:
             return out.empty_table()
-        names, asking = left.column("h").combine_chunks(), right.column("qh").combine_chunks()
+        names, ids, asking = left.column("h").combine_chunks(), left.column("id").combine_chunks(), right.column("qh").combine_chunks()
         x, queries = matrix(left.column("v").combine_chunks()), matrix(right.column("qv").combine_chunks())
-        norms, parts = np.einsum("ij,ij->i", x, x), []
+        norms, parts, by_id = np.einsum("ij,ij->i", x, x), [], np.empty(len(x), np.int64)
+        by_id[pc.sort_indices(ids).to_numpy()] = np.arange(len(x))
+        top = min(k + 1, len(x))
         for at in range(0, len(queries), 256):
-            # a product finds those that can be among the nearest; differences then give their distances
+            # a product finds all that can be among the nearest, given its rounding; differences then give their distances
             q = queries[at : at + 256]
-            top = min(k + 6, len(x))
-            picked = np.argpartition(norms[None, :] - 2 * q @ x.T, top - 1, axis=1)[:, :top]
-            gap = x[picked] - q[:, None, :]
-            owner = np.repeat(np.arange(at, at + len(q)), top)
-            parts.append(pa.Table.from_arrays([asking.take(pa.array(owner)), names.take(pa.array(picked.ravel())), pa.array(np.sqrt((gap * gap).sum(axis=2)).ravel())], schema=out))
+            near = norms[None, :] - 2 * q @ x.T
+            error = 4 * (dim + 2) * np.finfo(float).eps * (norms.max() + np.einsum("ij,ij->i", q, q))
+            # an overflow isn't greater either
+            row, picked = np.nonzero(~(near > (np.partition(near, top - 1, axis=1)[:, top - 1] + 2 * error)[:, None]))
+            score = np.empty(len(row))
+            for i in range(0, len(row), 1 << 16):
+                gap = x[picked[i : i + (1 << 16)]] - q[row[i : i + (1 << 16)]]
+                score[i : i + (1 << 16)] = np.sqrt((gap * gap).sum(axis=1))
+            order = np.lexsort((by_id[picked], score, row))
+            row, picked, score = row[order], picked[order], score[order]
+            first = np.arange(len(row)) - np.searchsorted(row, row) < top
+            picked = pa.array(picked[first])
+            parts.append(pa.Table.from_arrays([asking.take(pa.array(at + row[first])), names.take(picked), ids.take(picked), pa.array(score[first])], schema=out))
         return pa.concat_tables(parts)
 
-    compared = filed.groupBy("leaf", "piece").cogroup(probes.groupBy("leaf", "piece")).applyInArrow(compare, "qh binary, h binary, score double")
-    once = compared.groupBy("qh", "h").agg(F.min("score").alias("score"))
-    best = once.withColumn("nth", F.row_number().over(Window.partitionBy("qh").orderBy("score", "h"))).where(F.col("nth") <= 2 * k + 6)
+    compared = filed.groupBy("leaf", "piece").cogroup(probes.groupBy("leaf", "piece")).applyInArrow(compare, f"qh binary, h binary, id {kind}, score double")
+    once = compared.groupBy("qh", "h", "id").agg(F.min("score").alias("score"))
+    best = once.withColumn("nth", F.row_number().over(Window.partitionBy("qh").orderBy("score", "id"))).where(F.col("nth") <= k + 1).drop("id")
     # each distinct vector brings its first ids; then the query's own row goes
     pairs = best.join(distinct.select("h", "ids"), "h").select("qh", "score", F.explode("ids").alias("id"))
     first = Window.partitionBy("qh").orderBy("score", "id")

@@ -309,6 +309,19 @@ def test_nearest(spark):
     assert ann.nearest(vectors.where("false"), vectors).count() == 0
 
 
+@pytest.mark.parametrize("x", [np.eye(40), np.random.default_rng(3).integers(0, 2, (44, 6)).astype(float), 1e7 + np.random.default_rng(4).normal(size=(40, 8)) * 1e-2])
+def test_nearest_orders_all_ties_by_id(spark, x):
+    # one leaf holds them all, so the result is exact
+    ids = np.random.default_rng(0).permutation(len(x))
+    vectors = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    out = defaultdict(list)
+    for r in ann.nearest(vectors, vectors, k=3).orderBy("query_id", "rank").collect():
+        out[r.query_id].append(r.vec_id)
+    for q, i in enumerate(ids):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        assert out[i] == [int(ids[n]) for n in np.lexsort((ids, d)) if n != q][:3]
+
+
 # the pipeline
 
 
