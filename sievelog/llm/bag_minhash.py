@@ -235,9 +235,34 @@ def _rest(open_: DataFrame, compared, linked, could, similar: float) -> DataFram
     return linked(sharing.union(enough).distinct(), "links-rest").union(direct)
 
 
+def row_id(key: str, node: str) -> Column:
+    """What tells rows apart by key, which may be null, and digest of words."""
+    return F.unhex(F.md5(F.concat_ws("|", F.hex(node), F.to_json(F.struct(F.col(key).alias("k"))))))
+
+
+def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each class the row with the smallest key, nulls last, and of these
+    the one whose words' digest is smallest. Rows without words all stay, and so do those that repeat key and words of the
+    row that stays; of rows without a key one does."""
+    found = durable(_classed(docs, key, text, similar).where("main").select(row_id("key", "node").alias("_row")).distinct(), "kept-rows")
+    words = normal_words(text)
+    some = docs.where(words != "").withColumn("_row", row_id(key, F.unhex(F.md5(words)))).join(found, "_row", "left_semi")
+    nth = F.row_number().over(Window.partitionBy("_row").orderBy(F.xxhash64(*docs.columns)))
+    nameless = some.where(F.col(key).isNull()).withColumn("_nth", nth).where(F.col("_nth") <= 1)
+    parts = [some.where(F.col(key).isNotNull()), nameless, docs.where(words == "")]
+    return parts[0].select(*docs.columns).union(parts[1].select(*docs.columns)).union(parts[2])
+
+
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
     """One row per row of ``docs``: key, class_id (smallest key of its class), class_size, copies (rows with equal words),
     kept (key is class_id)."""
+    found = _classed(docs, key, text, similar)
+    return found.select(F.col("key").alias(key), "class_id", "class_size", "copies", F.col("key").eqNullSafe(F.col("class_id")).alias("kept"))
+
+
+def _classed(docs: DataFrame, key: str, text: str, similar: float) -> DataFrame:
+    """key, node (digest of the words), class_id, class_size, copies of each row, and main: whether its class is to be
+    kept by rows of its key and words."""
     marked = docs.select(F.col(key).alias("key"), normal_words(text).alias("words")).select("key", F.unhex(F.md5("words")).alias("node"), "words")
     kind = docs.schema[key].dataType.simpleString()
     rows = durable(marked.where(F.col("words") != "").mapInArrow(_signed, f"key {kind}, node binary, n long, bands array<long>"), "signatures")
@@ -289,8 +314,9 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     labelled = nodes.join(labels, "node", "left").select("node", "rep", "copies", F.coalesce("label", "node").alias("label"))
     labelled = durable(labelled, "labelled")
-    classes = labelled.groupBy("label").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"))
-    held = durable(labelled.join(classes, "label").select("node", "class_id", "class_size", "copies"), "classes")
-    found = rows.select("key", "node").join(held, "node").select("key", "class_id", "class_size", "copies")
-    alone = marked.where(F.col("words") == "").select("key", F.col("key").alias("class_id"), *[F.lit(n).cast("long").alias(c) for c, n in (("class_size", 1), ("copies", 1))])
-    return found.unionByName(alone).select(F.col("key").alias(key), "class_id", "class_size", "copies", F.col("key").eqNullSafe(F.col("class_id")).alias("kept"))
+    first = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "node"))["node"]
+    classes = labelled.groupBy("label").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"), first.alias("main"))
+    held = durable(labelled.join(classes, "label").select("node", "class_id", "class_size", "copies", (F.col("node") == F.col("main")).alias("main")), "classes")
+    found = rows.select("key", "node").join(held, "node").withColumn("main", F.col("main") & F.col("key").eqNullSafe(F.col("class_id")))
+    alone = marked.where(F.col("words") == "").select("key", "node", F.col("key").alias("class_id"), *[F.lit(n).cast("long").alias(c) for c, n in (("class_size", 1), ("copies", 1))], F.lit(True).alias("main"))
+    return found.select("key", "node", "class_id", "class_size", "copies", "main").unionByName(alone)

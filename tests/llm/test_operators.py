@@ -325,6 +325,19 @@ def test_nearest_orders_all_ties_by_id(spark, x):
 # the pipeline
 
 
+def test_pipeline_drops_near_duplicates_by_row(spark):
+    import corpus_pipeline
+
+    base = [f"w{i}" for i in range(60)]
+    near = lambda n: " ".join([*base[:-1], f"edit{n}"])
+    other = lambda n: " ".join(f"o{n}x{i}" for i in range(20))
+    table = [(1, near(1)), (1, near(2)), (2, near(3)), (2, other(2)), (None, near(4)), (None, other(3)), (None, other(3).upper()), (None, other(4)), (3, ""), (3, None), (4, other(5)), (4, other(5))]
+    kept = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(table, "doc_id long, text string"), "").collect()
+    first = [r.text for r in kept if r.doc_id == 1]
+    assert len(first) == 1 and first[0] in (near(1), near(2))
+    assert sorted(str(r.text).lower() for r in kept if r.doc_id != 1) == sorted([other(2), other(3), other(4), "", "none", other(5), other(5)])
+
+
 def test_pipeline_stages(spark, rows, monkeypatch, tmp_path):
     import corpus_pipeline
 
