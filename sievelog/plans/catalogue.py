@@ -109,6 +109,11 @@ def _sequence(spark, sf_dir, log):
     return ranges.sequenced(log.where(F.col("offset") % 3 == 0)).select(F.col("partition").alias("part"), F.col("offset").alias("off"), "sequence")
 
 
+@query("ordered_sequence_whole", "SELECT part, off, row_number() OVER (PARTITION BY part ORDER BY off) - 1 AS sequence FROM log")
+def _sequence_whole(spark, sf_dir, log):
+    return ranges.sequenced(log).select(F.col("partition").alias("part"), F.col("offset").alias("off"), "sequence")
+
+
 # predicates and policies
 
 _GOOD = "NOT tomb AND NOT bad"

@@ -31,3 +31,9 @@ def test_all_have_sql():
 @pytest.mark.parametrize("name", ["scan_identity", "range_relative_end", "range_timestamp_start", "count_per_partition", "drop_if_chain", "tombstone_if", "policy_tombstone_survives_drop", "project_sum_items", "fn_group_by", "envelope_string", "envelope_value", "stats", "fatal_prefix", "stream_available_now", "stream_count_per_partition"])
 def test_query(spark, name):
     compare(spark, catalogue.QUERIES[name], catalogue.ORACLES[name])
+
+
+@pytest.mark.parametrize("name", ["ordered_sequence_whole"])
+def test_whole_log(spark, name):
+    compare(spark, catalogue.QUERIES[name], catalogue.ORACLES[name])
+    assert catalogue.QUERIES[name](spark, SF).count() == catalogue.QUERIES["scan_identity"](spark, SF).count()

@@ -240,6 +240,11 @@ def test_stored_log_and_command_line(spark, tmp_path):
     assert to_stream(LogQuery("events").ordered(records(spark, b"a", b"b")), buffer) == 4 and buffer.getvalue() == b"a\nb\n"
 
 
+def test_sequence_is_dense_whatever_the_gaps(spark):
+    log = records(spark, *[b"x"] * 6).where("offset in (1, 4, 5)").union(records(spark, b"y", partition=1))
+    assert sorted((r.partition, r.offset, r.sequence) for r in ranges.sequenced(log).collect()) == [(0, 1, 0), (0, 4, 1), (0, 5, 2), (1, 0, 0)]
+
+
 # streams
 
 
