@@ -248,6 +248,17 @@ def _datasource(spark, sf_dir, log):
     return shown(LogQuery("events").run(stored))
 
 
+@query("source_parquet_whole", _ALL)
+def _parquet_whole(spark, sf_dir, log):
+    return shown(LogQuery("events").run(parquet_log.read(spark, f"file://{_folder(spark, log)}")))
+
+
+@query("source_datasource_whole", _ALL)
+def _datasource_whole(spark, sf_dir, log):
+    parquet_log.register(spark)
+    return shown(LogQuery("events").run(spark.read.format("sievelog").options(path=_folder(spark, log)).load()))
+
+
 def _streamed(spark: SparkSession, q: LogQuery, log: DataFrame) -> DataFrame:
     """The records that a bounded streaming run writes, read back."""
     parquet_log.register(spark)

@@ -33,7 +33,7 @@ def test_query(spark, name):
     compare(spark, catalogue.QUERIES[name], catalogue.ORACLES[name])
 
 
-@pytest.mark.parametrize("name", ["ordered_sequence_whole"])
+@pytest.mark.parametrize("name", ["ordered_sequence_whole", "source_parquet_whole", "source_datasource_whole"])
 def test_whole_log(spark, name):
     compare(spark, catalogue.QUERIES[name], catalogue.ORACLES[name])
     assert catalogue.QUERIES[name](spark, SF).count() == catalogue.QUERIES["scan_identity"](spark, SF).count()
