@@ -172,7 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
 
     def mapped(make, kind: str, arrow: pa.DataType) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in (b.slice(i, 32) for b in batches for i in range(0, b.num_rows, 32)):
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([make(x.as_py()) for x in batch.column(3)], arrow)], names=[*columns, "_f"])
 
         # rows with one key, text and label are learned from once
