@@ -12,10 +12,12 @@ their weighted Jaccard similarity. Points are made in order of time, all shingle
 when it passes its document's latest register, so a document of n shingles takes about n + m log m points, not n m.
 
 Steps. 1: one pass makes each row's signature bands and the digest of its words. 2: rows with equal words are one node,
-with its bands once. 3: within a bucket (a band's value) nodes are verified against one of them, twice with different
-choices; in buckets whose nodes are then still in several classes, every pair of different classes that can be a link is
-verified (``_rest`` tells which can). Groups of thousands of copies so take a few verified pairs a node, and no link of a
-bucket that joins two classes is lost. Verification is exact, on the bags of shingles. 4: classes are given to rows.
+with its bands once. 3: within a bucket (a band's value) nodes are verified against its most central one, the one that
+shares most buckets with most nodes; then those of other classes against the most central of these. 4: in buckets whose
+nodes are then still in several classes, every pair of different classes that can be a link is verified (``_rest`` tells
+which can). Groups of thousands of copies so take a few verified pairs a node, and no link of a bucket that joins two
+classes is lost. Verification is exact, on the bags of shingles; texts are read again only for nodes that share a bucket,
+which a Bloom filter of bounded size tells before any text is shuffled. 5: classes are given to rows.
 
 With 32 bands of 6 registers, a pair of similarity 0.8 meets in a bucket with a probability of 0.99994, one of 0.9 surely.
 
@@ -34,11 +36,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE, durable
+from . import bloom
+from .common import SPACE, durable, pieces, release
 from .components import components
 
 WORDS, SIMILAR, BANDS, ROWS = 5, 0.8, 32, 6
 M = BANDS * ROWS
+#: Bytes of a long text hashed at a time, and processes followed at a time.
+SEGMENT, AT_ONCE = 4_000_000, 500_000
 #: Time is kept in integers, so that sums don't depend on how they are taken.
 TICK = float(1 << 32)
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -61,16 +66,12 @@ def normal_words(text: str) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), f"[{SPACE}]+", " ")))
 
 
-def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, shingle hash, weight) of the distinct shingles of each text; texts have single spaces between words.
+def _windows(raw: bytes, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, hash) of each shingle of texts joined by newlines.
 
     A shingle's hash is that of its bytes, from running sums of a polynomial over all texts.
     """
-    raw = "\n".join(texts).encode()
     b = np.frombuffer(raw, np.uint8)
-    if not len(b):
-        empty = np.zeros(0, np.int64)
-        return empty, empty.astype(np.uint64), empty
     with np.errstate(over="ignore"):
         power = np.multiply.accumulate(np.full(len(b) + 1, STEP))
         inverse = np.multiply.accumulate(np.full(len(b) + 1, np.uint64(pow(int(STEP), -1, 1 << 64))))
@@ -80,19 +81,54 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         doc = np.concatenate(([0], np.cumsum(b[gaps] == 10)))
         full = begin < end  # no word between two newlines
         begin, end, doc = begin[full], end[full], doc[full]
-        count = np.bincount(doc, minlength=len(texts))
+        count = np.bincount(doc, minlength=n_docs)
         first = np.concatenate(([0], np.cumsum(count)))[doc]
         nth = np.arange(len(doc)) - first
         last = np.minimum(np.arange(len(doc)) + WORDS - 1, first + count[doc] - 1)
         starts = (nth == 0) | (nth + WORDS <= count[doc])
         begin, end, doc = begin[starts], end[last[starts]], doc[starts]
-        value = mixed((sums[end] - sums[begin]) * inverse[begin] + (end - begin).astype(np.uint64) * ODD)
-    order = np.lexsort((value, doc))
-    doc, value = doc[order], value[order]
+        return doc, mixed((sums[end] - sums[begin]) * inverse[begin] + (end - begin).astype(np.uint64) * ODD)
+
+
+def _segments(raw: bytes, size: int) -> Iterator[bytes]:
+    """Parts of one text of ``size`` bytes or somewhat more; each begins with the last WORDS - 1 words of the one before, so
+    that every run of WORDS words is in exactly one part."""
+    at = 0
+    while len(raw) - at > size:
+        end = raw.find(b" ", at + size)
+        back = end
+        for _ in range(WORDS - 1):
+            back = raw.rfind(b" ", at, back)
+        # a cut needs words before it that it doesn't repeat, and words after it
+        if end < 0 or back <= at:
+            break
+        yield raw[at:end]
+        at = back + 1
+    yield raw[at:]
+
+
+def shingles(texts: list[str], size: int = SEGMENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, shingle hash, weight) of the distinct shingles of each text; texts have single spaces between words.
+
+    A text of more than ``size`` bytes is to come alone; it is then hashed in parts, so that what is held of it besides is
+    8 bytes a word.
+    """
+    raw = "\n".join(texts).encode()
+    if not raw:
+        empty = np.zeros(0, np.int64)
+        return empty, empty.astype(np.uint64), empty
+    if len(texts) == 1 and len(raw) > size:
+        value = np.concatenate([_windows(part, 1)[1] for part in _segments(raw, size)])
+        value.sort()
+        doc = np.zeros(len(value), np.int8)
+    else:
+        doc, value = _windows(raw, len(texts))
+        order = np.lexsort((value, doc))
+        doc, value = doc[order], value[order]
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])
     at = np.flatnonzero(new)
-    return doc[at], value[at], np.diff(np.append(at, len(doc)))
+    return doc[at].astype(np.int64), value[at], np.diff(np.append(at, len(doc)))
 
 
 def tagged(value: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -103,36 +139,39 @@ def tagged(value: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 
 def signatures(doc: np.ndarray, value: np.ndarray, weight: np.ndarray, n_docs: int, m: int = M) -> np.ndarray:
-    """Registers (n_docs, m) in ticks: the earliest counted point of each."""
-    never = np.iinfo(np.int64).max
-    registers = np.full(n_docs * m, never, np.int64)
+    """Registers (n_docs, m) in ticks: the earliest counted point of each. Processes are followed ``AT_ONCE`` at a time, so
+    that what is held doesn't grow with a text; the order doesn't matter, as registers keep minima."""
+    registers = np.full(n_docs * m, np.iinfo(np.int64).max, np.int64)
+    # a process for each dyadic interval that the weight reaches into: (low, low + length]
+    who, low, length = np.arange(len(doc)), 0, 1
+    while who.size:
+        for at in range(0, who.size, AT_ONCE):
+            part = who[at : at + AT_ONCE]
+            _points(registers, doc[part], value[part], weight[part], low, length, n_docs, m)
+        low, length = (1, 1) if low == 0 else (2 * low, 2 * length)
+        who = np.flatnonzero(weight > low)
+    return registers.reshape(n_docs, m)
+
+
+def _points(registers: np.ndarray, owner: np.ndarray, value: np.ndarray, limit: np.ndarray, low: int, length: int, n_docs: int, m: int) -> None:
+    """Enter the points of one interval's processes, each until it passes its document's latest register."""
     with np.errstate(over="ignore"):
-        # a process for each dyadic interval that the weight reaches into: (low, low + length]
-        parts, k = [(np.arange(len(doc)), 0, 1)], 1
-        while (deep := np.flatnonzero(weight > k)).size:
-            parts.append((deep, k, k))
-            k *= 2
-        who = np.concatenate([p[0] for p in parts])
-        low = np.concatenate([np.full(len(p[0]), p[1]) for p in parts])
-        length = np.concatenate([np.full(len(p[0]), p[2]) for p in parts])
-        seed = mixed(value[who] + (low.astype(np.uint64) + np.uint64(1)) * ODD)
-        owner, limit = doc[who], weight[who]
-        time, made = np.zeros(len(who), np.int64), 0
+        seed = mixed(value + np.uint64(low + 1) * ODD)
+        time, made = np.zeros(len(owner), np.int64), 0
         while len(owner):
             g = int(min(64, max(1, 200_000 // len(owner))))  # few processes: many points of each at once
             point = mixed(seed[:, None] + np.arange(made + 1, made + g + 1, dtype=np.uint64) * STEP)
-            wait = -np.log(((point >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)) / length[:, None]
+            wait = -np.log(((point >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)) / length
             times = time[:, None] + np.cumsum((wait * TICK).astype(np.int64) + 1, axis=1)
             other = mixed(point ^ ODD)
-            level = low[:, None] + (((other >> np.uint64(32)) * length[:, None].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
+            level = low + (((other >> np.uint64(32)) * np.uint64(length)) >> np.uint64(32)).astype(np.int64)
             counts = level < limit[:, None]
             at = owner[:, None] * m + ((other & np.uint64(0xFFFFFFFF)) % np.uint64(m)).astype(np.int64)
             np.minimum.at(registers, at[counts], times[counts])
             time, made = times[:, -1], made + g
             latest = registers.reshape(n_docs, m).max(axis=1)
             going = time < latest[owner]
-            owner, limit, low, length, seed, time = (x[going] for x in (owner, limit, low, length, seed, time))
-    return registers.reshape(n_docs, m)
+            owner, limit, seed, time = (x[going] for x in (owner, limit, seed, time))
 
 
 def bands_of(registers: np.ndarray) -> np.ndarray:
@@ -145,94 +184,104 @@ def bands_of(registers: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def in_pieces(texts: list[str], most: int = 1_000_000) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``most`` characters; a longer text is a range of its own."""
-    at = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > most:
-            yield at, i
-            at, size = i, 0
-        size += len(t)
-    if at < len(texts):
-        yield at, len(texts)
-
-
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column(2).to_pylist()
-        for a, b in in_pieces(texts):
-            doc, value, weight = shingles(texts[a:b])
-            bands = bands_of(signatures(doc, value, weight, b - a))
-            n = np.bincount(doc, weight, b - a).astype(np.int64)
-            rows = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * BANDS, pa.int32()), pa.array(bands.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n), rows], names=["key", "node", "n", "bands"])
+        for at, texts in pieces(batch.column(2)):
+            doc, value, weight = shingles(texts)
+            bands = bands_of(signatures(doc, value, weight, len(texts)))
+            n = np.bincount(doc, weight, len(texts)).astype(np.int64)
+            rows = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * BANDS, pa.int32()), pa.array(bands.ravel()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, len(texts)) for c in (0, 1)), pa.array(n), rows], names=["key", "node", "n", "bands"])
 
 
 def _bagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column(1).to_pylist()
-        for a, b in in_pieces(texts):
-            doc, value, weight = shingles(texts[a:b])
-            ends = np.cumsum(np.bincount(doc, weight, b - a).astype(np.int64))
+        for at, texts in pieces(batch.column(1)):
+            doc, value, weight = shingles(texts)
+            ends = np.cumsum(np.bincount(doc, weight, len(texts)).astype(np.int64))
             bags = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(tagged(value, weight).astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), bags], names=["node", "bag"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), bags], names=["node", "bag"])
 
 
 def _pairs(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _rest(open_: DataFrame, compared, linked, could, similar: float) -> DataFrame:
-    """The links between classes that stars left apart, in buckets ``open_`` (bucket, node, n, label).
+def _could(n: str, other: str, similar: float) -> Column:
+    """Whether sizes allow a link."""
+    return F.least(n, other) >= similar * F.greatest(n, other)
 
-    Each bucket has a pivot: the node that names its most frequent class. With i the overlap of a node's bag with the
-    pivot's, two nodes x and y overlap in min(i_x, i_y) at most, unless they share something that the pivot lacks. So of
-    all pairs in a bucket only these can be links, and are verified:
 
-    - pairs that share enough shingles that their pivot lacks to make up for the difference,
+def _overlap_wanted(n: str, other: str, similar: float) -> Column:
+    """The overlap that makes a link of bags of these sizes."""
+    return similar / (1 + similar) * (F.col(n) + F.col(other)) - 1e-9
+
+
+def _rest(open_: DataFrame, compared, linked, similar: float) -> DataFrame:
+    """The links between classes that stars left apart, in buckets ``open_`` (bucket, node, n, label, centre, second).
+
+    ``centre`` is the bucket's most central node, ``second`` the most central one of another class, if any; every other node
+    was verified against both. Each node has one of them as its pivot, the one it is more similar to. With i the overlap of a
+    node's bag with a pivot's, two nodes x and y overlap in min(i_x, i_y) at most, unless they share something that the pivot
+    lacks. So of all pairs in a bucket only these can be links, and are verified:
+
+    - pairs that share enough shingles that a pivot lacks to make up for the difference,
     - pairs for which min(i_x, i_y) is overlap enough for their sizes.
 
-    Around a large group of near-copies these are few, as what a copy has besides its source is mostly its own. Nodes are
-    compared with their pivot once, whatever the number of buckets.
+    Two nodes with ``second`` as their pivot are judged by that, all others by ``centre``. Around a large group of near-copies
+    such pairs are few, as what a copy has besides its source is mostly its own; and as central nodes lie amid their
+    group, hardly a node that isn't linked to them overlaps enough with them. Nodes are compared with a pivot once, whatever
+    the number of buckets.
     """
-    counts = open_.groupBy("bucket", "label").agg(F.count("*").alias("rows"))
-    pivots = counts.groupBy("bucket").agg(F.max_by("label", F.struct("rows", "label")).alias("pivot"))
-    rows = durable(open_.join(pivots, "bucket"), "pivoted")
-    near = rows.select(F.col("pivot").alias("a"), F.col("node").alias("b"), "n", "label").distinct()
-    near = compared(near).select(F.col("a").alias("pivot"), F.col("b").alias("node"), "n", "label", F.size("bag_a").alias("pivot_n"), F.size(F.array_intersect("bag_a", "bag_b")).alias("i"), F.array_except("bag_b", "bag_a").alias("other"))
+    open_ = open_.where(F.col("centre").isNotNull())
+    ends = [open_.select(F.col(c).alias("a"), F.col("node").alias("b"), "n", "label") for c in ("centre", "second")]
+    near = compared(ends[0].union(ends[1].where(F.col("a").isNotNull())).distinct())
+    near = near.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "n", "label", F.size("bag_a").alias("pivot_n"), F.size(F.array_intersect("bag_a", "bag_b")).alias("i"), F.array_except("bag_b", "bag_a").alias("other"))
     near = durable(near, "near-pivots")
-    direct = near.where((F.col("pivot") != F.col("node")) & (F.col("i") >= similar * (F.col("n") + F.col("pivot_n") - F.col("i")))).select(*_pairs("pivot", "node"))
+    light = near.select("pivot", "node", "i", (F.col("i") / (F.col("n") + F.col("pivot_n") - F.col("i"))).alias("s"))
+    one, two = (light.select(F.col("pivot").alias(c), "node", F.col("i").alias(f"i_{c}"), F.col("s").alias(f"s_{c}")) for c in ("centre", "second"))
+    # side: whether the second is the node's pivot
+    rows = open_.join(one, ["centre", "node"]).join(two, ["second", "node"], "left")
+    rows = durable(rows.select("bucket", "node", "n", "label", "centre", "second", "i_centre", "i_second", F.coalesce(F.col("s_second") > F.col("s_centre"), F.lit(False)).alias("side")), "pivoted")
 
     def apart(rows: DataFrame, *key: str) -> DataFrame:
         """Rows whose key occurs in several classes."""
         alike = Window.partitionBy(*key)
         return rows.withColumns({"low": F.min("label").over(alike), "high": F.max("label").over(alike)}).where(F.col("low") != F.col("high")).drop("low", "high")
 
-    def crossed(rows: DataFrame, key: list[str], *conditions: Column, also: tuple[str, ...] = ()) -> DataFrame:
-        x, y = (rows.select(*key, *[F.col(c).alias(f"{c}_{side}") for c in rows.columns if c not in key]) for side in "xy")
-        test = (F.col("label_x") < F.col("label_y")) & could("n_x", "n_y")
-        for c in conditions:
-            test = test & c
-        return x.join(y, key).where(test).select(*_pairs("node_x", "node_y"), *also)
-
-    # a link of x shares at least similar * n - i of the shingles that the pivot lacks: of its e such shingles, taken in one
-    # order for all, rare ones first, one of the first e - that + 1 is then among the first of the other node too
-    shared = apart(near.select("pivot", F.explode("other").alias("shingle"), "node", "n", "label", "i"), "pivot", "shingle")
-    shared = shared.withColumn("holders", F.count("*").over(Window.partitionBy("pivot", "shingle")))
+    # a node's part under a pivot: ``own`` if it is the node's own pivot in some bucket; the others meet only such nodes
+    parts = rows.select(F.col("centre").alias("pivot"), "node", (~F.col("side")).alias("own")).union(rows.where("side").select(F.col("second").alias("pivot"), "node", F.lit(True).alias("own")))
+    parts = parts.groupBy("pivot", "node").agg(F.max("own").alias("own"))
+    spread = near.join(parts, ["pivot", "node"]).select("pivot", "node", "n", "label", "i", "own", F.explode("other").alias("shingle"))
+    shared = apart(spread, "pivot", "shingle")
+    shared = shared.withColumns({"holders": F.count("*").over(Window.partitionBy("pivot", "shingle")), "owners": F.max("own").over(Window.partitionBy("pivot", "shingle"))}).where("owners")
+    # a link of x with y shares k of the shingles that the pivot lacks, k being at least the overlap wanted less i_x; that is
+    # 2 similar / (1 + similar) of its size if x is the smaller, similar of it if x is the larger. Of its e such shingles,
+    # taken in one order for all, rare ones first, one of the first e - k + 1 is then among the first of the other node too
     own = Window.partitionBy("pivot", "node")
-    first = F.col("e") - F.greatest(F.ceil(similar * F.col("n") - F.col("i") - 1e-9), F.lit(1)) + 1
-    shared = shared.withColumns({"place": F.row_number().over(own.orderBy("holders", "shingle")), "e": F.count("*").over(own)}).withColumn("first", first)
-    shared = shared.where(F.col("place") <= F.col("first")).select("pivot", "shingle", "node", "n", "label", "i", (F.col("e") - F.col("first")).alias("rest"))
-    sharing = crossed(shared, ["pivot", "shingle"], also=("n_x", "n_y", "i_x", "i_y", "rest_x", "rest_y"))
-    sharing = sharing.groupBy("a", "b", "n_x", "n_y", "i_x", "i_y", "rest_x", "rest_y").agg(F.count("*").alias("seen"))
-    most = F.least("i_x", "i_y") + F.col("seen") + F.col("rest_x") + F.col("rest_y")
-    sharing = sharing.where(most >= similar / (1 + similar) * (F.col("n_x") + F.col("n_y")) - 1e-9).select("a", "b")
+    first = lambda part: F.col("e") - F.greatest(F.ceil(part * F.col("n") - F.col("i") - 1e-9), F.lit(1)) + 1
+    shared = shared.withColumns({"place": F.row_number().over(own.orderBy("holders", "shingle")), "e": F.count("*").over(own)})
+    shared = shared.withColumns({"as_larger": first(similar), "as_smaller": first(2 * similar / (1 + similar))}).where(F.col("place") <= F.col("as_larger"))
+    shared = shared.select("pivot", "shingle", "node", "n", "label", "i", "own", "e", (F.col("place") <= F.col("as_smaller")).alias("early"))
+    x, y = (shared.select("pivot", "shingle", *[F.col(c).alias(f"{c}_{side}") for c in shared.columns[2:]]) for side in "xy")
+    # x is its pivot's own, y isn't or comes later
+    meet = (F.col("label_x") != F.col("label_y")) & (~F.col("own_y") | (F.col("node_x") < F.col("node_y"))) & _could("n_x", "n_y", similar)
+    meet = meet & F.when(F.col("n_x") < F.col("n_y"), F.col("early_x")).when(F.col("n_x") > F.col("n_y"), F.col("early_y")).otherwise(F.col("early_x") & F.col("early_y"))
+    meet = meet & (F.least("i_x", "i_y") + F.least("e_x", "e_y") >= _overlap_wanted("n_x", "n_y", similar))
+    sharing = x.where("own_x").join(y, ["pivot", "shingle"]).where(meet).select(*_pairs("node_x", "node_y")).distinct()
+
     # overlap o suffices for sizes m and n if o >= similar / (1 + similar) (m + n): the other's size can be ``room`` at most
-    room = F.col("i") * ((1 + similar) / similar) - F.col("n")
-    within = rows.select("bucket", "node", "pivot").join(near.drop("other"), ["pivot", "node"]).withColumn("room", room)
-    within = within.withColumn("least", F.min("n").over(Window.partitionBy("bucket"))).where(F.col("room") >= F.col("least")).select("bucket", "node", "n", "label", "room")
-    enough = crossed(apart(within, "bucket"), ["bucket"], F.col("room_x") >= F.col("n_y"), F.col("room_y") >= F.col("n_x"))
-    return linked(sharing.union(enough).distinct(), "links-rest").union(direct)
+    room = lambda i: F.col(i) * ((1 + similar) / similar) - F.col("n")
+    within = rows.select("bucket", "node", "n", "label", "side", room("i_centre").alias("room"), F.when(F.col("side"), room("i_second")).otherwise(0.0).alias("near_room"))
+    within = within.withColumn("least", F.min("n").over(Window.partitionBy("bucket"))).where(F.greatest("room", "near_room") >= F.col("least")).drop("least")
+    within = apart(within, "bucket")
+    x, y = (within.select("bucket", *[F.col(c).alias(f"{c}_{side}") for c in within.columns[1:]]) for side in "xy")
+    fits = lambda name: (F.col(f"{name}_x") >= F.col("n_y") - 1e-6) & (F.col(f"{name}_y") >= F.col("n_x") - 1e-6)
+    judged = F.when(F.col("side_x") & F.col("side_y"), fits("near_room")).otherwise(fits("room"))
+    enough = x.join(y, ["bucket"]).where((F.col("label_x") < F.col("label_y")) & _could("n_x", "n_y", similar) & judged)
+    found = linked(sharing.union(enough.select(*_pairs("node_x", "node_y"))).distinct(), "links-rest")
+    release(near, rows)
+    return found
 
 
 def row_id(key: str, node: str) -> Column:
@@ -273,13 +322,22 @@ def _classed(docs: DataFrame, key: str, text: str, similar: float) -> DataFrame:
     one = rows.join(nodes.select("node", F.col("rep").alias("r")), "node").where(F.col("key").eqNullSafe(F.col("r"))).select("node", "n", "bands")
     spread = one.select("node", "n", F.explode("bands").alias("bucket"))
     alike = Window.partitionBy("bucket")
-    met = spread.select("node", "n", "bucket", F.min("node").over(alike).alias("low"), F.max("node").over(alike).alias("high")).where(F.col("low") != F.col("high"))
-    met = durable(met.select("bucket", "node", "n"), "buckets")
+    met = spread.withColumns({"low": F.min("node").over(alike), "high": F.max("node").over(alike), "size": F.count("*").over(alike)}).where(F.col("low") != F.col("high"))
+    met = durable(met.select("bucket", "node", "n", "size"), "met")
+    # how central a node is: the nodes that it meets, over all of its buckets
+    central = met.groupBy("node").agg(F.sum("size").alias("meets"))
+    sizes, met = met, durable(met.drop("size").join(central, "node").select("bucket", "node", "n", "meets"), "buckets")
 
     # the bags of nodes that share a bucket with another, from the one row that stands for each
-    wanted = met.select("node").distinct().join(nodes.select("node", "rep"), "node").select(F.col("node").alias("w"), F.col("rep").alias("r"))
-    texts = marked.join(wanted, (marked["node"] == wanted["w"]) & marked["key"].eqNullSafe(wanted["r"])).select("node", "words")
+    wanted = durable(met.select("node").distinct().join(nodes.select("node", "rep"), "node").select(F.col("node").alias("w"), F.col("rep").alias("r")), "wanted")
+    bits = bloom.bits_for(wanted.count())
+    shared = docs.sparkSession.sparkContext.broadcast(bloom.of(wanted.select(F.xxhash64("r")), bits).tobytes())
+    some = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(F.col(key)).alias("h")).where(bloom.known_in("h", shared, bits))
+    some = some.select("key", normal_words("text").alias("words")).select("key", F.unhex(F.md5("words")).alias("node"), "words")
+    release(sizes)
+    texts = some.join(wanted, (some["node"] == wanted["w"]) & some["key"].eqNullSafe(wanted["r"])).select("node", "words")
     bags = durable(texts.mapInArrow(_bagged, "node binary, bag array<long>"), "bags")
+    shared.destroy()
 
     def compared(pairs: DataFrame) -> DataFrame:
         """(a, b) with both bags: weighted overlap is the overlap of tagged bags."""
@@ -292,31 +350,41 @@ def _classed(docs: DataFrame, key: str, text: str, similar: float) -> DataFrame:
         good = compared(pairs).where(both >= similar * (F.size("bag_a") + F.size("bag_b") - both))
         return durable(good.select("a", "b").distinct(), name)
 
-    def could(n: str, other: str) -> Column:
-        return F.least(n, other) >= similar * F.greatest(n, other)
-
-    def still_open(labels: DataFrame) -> DataFrame:
-        """Rows of buckets whose nodes are in several classes so far."""
-        named = met.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        apart = named.withColumns({"low": F.min("label").over(alike), "high": F.max("label").over(alike)}).where(F.col("low") != F.col("high"))
-        return durable(apart.select("bucket", "node", "n", "label"), "open-buckets")
-
-    links, open_ = None, met.withColumn("label", F.col("node"))
-    for turn in range(2):
-        # one node of each bucket, another each turn; those of other classes against it
-        order = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("c"), F.col("n").alias("cn"), F.col("label").alias("cl"))
-        star = open_.withColumn("centre", F.min(order).over(alike)).select("node", "n", "label", "centre.*")
-        good = linked(star.where((F.col("label") != F.col("cl")) & could("n", "cn")).select(*_pairs("node", "c")).distinct(), f"links-{turn}")
-        links = good if links is None else links.union(good)
-        open_ = still_open(components(links))
-    links = durable(links.union(_rest(open_, compared, linked, could, similar)), "all-links")
+    def still_open(rows: DataFrame, labels: DataFrame) -> DataFrame:
+        """Rows (bucket, node, …) of buckets whose nodes are in several classes so far, with their labels."""
+        named = rows.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        return named.withColumns({"low": F.min("label").over(alike), "high": F.max("label").over(alike)}).where(F.col("low") != F.col("high")).drop("low", "high")
+
+    def star(rows: DataFrame, centre: str, name: str) -> DataFrame:
+        """Links of nodes with the centre of their bucket, where that is of another class."""
+        at = F.col(f"{centre}.node")
+        tried = rows.where((F.col("label") != F.col(f"{centre}.label")) & _could("n", f"{centre}.n", similar))
+        return linked(tried.select(F.least("node", at).alias("a"), F.greatest("node", at).alias("b")).distinct(), name)
+
+    # the most central node of each bucket, and then that of the nodes which are in no class with it
+    most = lambda when: F.max(F.when(when, F.struct("meets", "node", "n", "label"))).over(alike)
+    first = met.withColumn("label", F.col("node")).withColumn("first", most(F.lit(True)))
+    links = star(first, "first", "links-0")
+    found = components(links)
+    open_ = durable(still_open(first.withColumn("centre", F.col("first.node")).drop("first"), found), "open-buckets")
+    release(found)
+    there = F.max(F.when(F.col("node") == F.col("centre"), F.col("label"))).over(alike)
+    open_ = open_.withColumn("there", there).withColumn("other", most(F.col("label") != F.col("there")))
+    links = links.union(star(open_, "other", "links-1"))
+    found = components(links)
+    left = durable(still_open(open_.select("bucket", "node", "n", "centre", F.col("other.node").alias("second")), found), "open-buckets")
+    release(found, met)
+    links = durable(links.union(_rest(left, compared, linked, similar)), "all-links")
+    release(bags, wanted, left)
     labels = components(links)
+    release(links)
 
     labelled = nodes.join(labels, "node", "left").select("node", "rep", "copies", F.coalesce("label", "node").alias("label"))
     labelled = durable(labelled, "labelled")
     first = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "node"))["node"]
     classes = labelled.groupBy("label").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"), first.alias("main"))
     held = durable(labelled.join(classes, "label").select("node", "class_id", "class_size", "copies", (F.col("node") == F.col("main")).alias("main")), "classes")
+    release(nodes, labels, labelled)
     found = rows.select("key", "node").join(held, "node").withColumn("main", F.col("main") & F.col("key").eqNullSafe(F.col("class_id")))
     alone = marked.where(F.col("words") == "").select("key", "node", F.col("key").alias("class_id"), *[F.lit(n).cast("long").alias(c) for c, n in (("class_size", 1), ("copies", 1))], F.lit(True).alias("main"))
     return found.select("key", "node", "class_id", "class_size", "copies", "main").unionByName(alone)

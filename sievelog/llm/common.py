@@ -1,11 +1,17 @@
-"""Shared helpers: durable intermediate tables, whitespace classes, stable fold numbers."""
+"""Shared helpers: durable intermediate tables, texts in pieces, white space and letter classes, stable fold numbers."""
 
 from __future__ import annotations
 
 import math
+import re
+import sys
 import tempfile
 import uuid
+import weakref
+from collections.abc import Iterator
+from functools import cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,15 +21,38 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 WORD = rf"[^{SPACE}]+"
 
 
+#: Runs of letters, in text without numerals that are no digits.
+LETTERS = re.compile(r"[^\W\d_]+")
+
+
+@cache
+def _numerals() -> re.Pattern:
+    """Characters that ``LETTERS`` takes for letters and aren't: fractions, Roman numerals and the like."""
+    return re.compile("[" + "".join(re.escape(x) for c in range(128, sys.maxunicode + 1) if (x := chr(c)).isnumeric() and not x.isdecimal() and not x.isalpha()) + "]")
+
+
+def lettered(text: str) -> str:
+    """``text`` with a space for each such numeral, so that ``LETTERS`` finds letters only; lengths stay."""
+    return text if text.isascii() else _numerals().sub(" ", text)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a temporary folder will do if
+    they are one process; on a cluster that is an error, as each executor would write to its own disk."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="sievelog-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+#: Where the tables made by ``durable`` are.
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
@@ -33,17 +62,33 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    _paths[found] = path
+    return found
 
 
-def release(df: DataFrame) -> None:
-    """Delete the files of a table that ``durable`` made and nothing needs any more."""
-    spark = df.sparkSession
-    jvm, root = spark.sparkContext._jvm, shared_dir(spark)
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if parent.replace("file:///", "/").startswith(root.replace("file://", "").rstrip("/") + "/"):
-            path = jvm.org.apache.hadoop.fs.Path(parent)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def release(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``durable`` made and nothing will read any more; others are left alone."""
+    for df in tables:
+        if (at := _paths.pop(df, None)) is not None:
+            context = df.sparkSession.sparkContext
+            path = context._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def pieces(column: pa.Array, most: int = 1_000_000) -> Iterator[tuple[int, list[str]]]:
+    """(place of the first, texts) of runs of a text column of about ``most`` characters, nulls as empty; a longer text comes
+    alone. A batch of tens of megabytes is so never held as Python strings at once."""
+    at, texts, size = 0, [], 0
+    for i, x in enumerate(column):
+        text = x.as_py() or ""
+        if texts and size + len(text) > most:
+            yield at, texts
+            at, texts, size = i, [], 0
+        texts.append(text)
+        size += len(text)
+    if texts:
+        yield at, texts
 
 
 def fold(key: str, n: int) -> Column:
@@ -54,8 +99,3 @@ def fold(key: str, n: int) -> Column:
 def chunks_for(rows: int, size: int, least: int = 16) -> int:
     """A number of chunks, a power of two, that leaves about ``size`` rows in each."""
     return max(least, 1 << math.ceil(math.log2(max(1, rows / size))))
-
-
-def plain(df: DataFrame, *columns: str) -> DataFrame:
-    """Only the named columns, so that whatever else the input carries can't clash with what an operator adds."""
-    return df.select(*columns)

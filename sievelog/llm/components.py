@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, release
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -21,20 +21,24 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         if links.isEmpty():
             break
         both = links.select("a", "b").union(links.select("b", "a"))
-        to = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("to"))
+        to, passed = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("to")), []
         for _ in range(2):
             to = durable(to, "pointers")
+            passed.append(to)
             up = to.select(F.col("node").alias("to"), F.col("to").alias("up"))
             to = to.join(up, "to").select("node", F.col("up").alias("to"))
         to = durable(to, "pointers")
         ends = to.select(F.col("node").alias("a"), F.col("to").alias("new_a")), to.select(F.col("node").alias("b"), F.col("to").alias("new_b"))
+        drawn = links.join(ends[0], "a").join(ends[1], "b").where(F.col("new_a") != F.col("new_b"))
+        drawn = durable(drawn.select(F.least("new_a", "new_b").alias("a"), F.greatest("new_a", "new_b").alias("b")).distinct(), "links")
         if labels is None:
-            labels = to.select("node", F.col("to").alias("label"))
+            labels = durable(to.select("node", F.col("to").alias("label")), "labels")
         else:
-            moved = to.select(F.col("node").alias("label"), F.col("to").alias("new"))
-            labels = durable(labels.join(moved, "label", "left").select("node", F.coalesce("new", "label").alias("label")), "labels")
-        links = links.join(ends[0], "a").join(ends[1], "b").where(F.col("new_a") != F.col("new_b"))
-        links = durable(links.select(F.least("new_a", "new_b").alias("a"), F.greatest("new_a", "new_b").alias("b")).distinct(), "links")
+            moved, old = to.select(F.col("node").alias("label"), F.col("to").alias("new")), labels
+            labels = durable(old.join(moved, "label", "left").select("node", F.coalesce("new", "label").alias("label")), "labels")
+            release(old)
+        release(links, to, *passed)
+        links = drawn
     else:
         raise RuntimeError("components: too many rounds")
     return labels if labels is not None else links.select(F.col("a").alias("node"), F.col("b").alias("label"))
