@@ -6,16 +6,19 @@ lexicon features (the word itself, and the language that it is most typical of);
 learned. Forward-backward gives each word's posterior; a document's score for a language is the mean over its words.
 
 Only documents' languages are known, so training chains are made of runs of words from one document and, for switching,
-of runs from documents of different languages joined. Training uses a bounded sample (``SAMPLE`` documents for each
-language, ``SAMPLE_WORDS`` words of each, first in hash order); prediction reads every text whole.
+of runs from documents of different languages joined. Training uses a bounded sample: ``SAMPLE`` documents for each
+language, first in the hash order of their keys, and of each chains of about ``SAMPLE_WORDS`` words from all over its text,
+drawn where the text is; and the ``MOST_LANGUAGES`` most frequent languages, as weights are dense by language. Prediction
+reads every text whole.
 
-Defined cases: a text that is null or has no letters is ``und`` with score 0; null languages aren't learned from; nothing
-to learn from: all are ``und``; repeated rows are predicted alike; ties go to the first language in code point order.
+Defined cases: a text that is null or has no letters (numerals such as fractions are none) is ``und`` with score 0; null
+languages aren't learned from; nothing to learn from: all are ``und``; repeated rows are predicted alike; ties go to the
+first language in code point order.
 """
 
 from __future__ import annotations
 
-import re
+import random
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,12 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SAMPLE, SAMPLE_WORDS, CHAIN, LEXICON = 250, 300, 64, 3000
+from .common import LETTERS, durable, lettered, pieces, release
+
+SAMPLE, SAMPLE_WORDS, MOST_LANGUAGES, CHAIN, LEXICON = 250, 300, 64, 64, 3000
 #: Affixes and n-grams are hashed to so many weights for each language.
 SLOTS = 1 << 18
 REMEMBERED = 300_000
 UNKNOWN = "und"
-WORD = re.compile(r"[^\W\d_]+")
 START, END, MIX = 2, 3, np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -58,12 +62,27 @@ def hashed_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def chains(text: str) -> Iterator[list[str]]:
     """The words of each line, lower case, in runs of at most CHAIN."""
-    for line in text.lower().split("\n"):
-        words = WORD.findall(line)
+    for line in lettered(text.lower()).split("\n"):
+        words = LETTERS.findall(line)
         for at in range(0, len(words), CHAIN):
             yield words[at : at + CHAIN]
 
 
+def sampled(text: str, most: int = SAMPLE_WORDS) -> list[list[str]]:
+    """Chains of ``most`` words or somewhat more, from all over the text: all chains of a short text, in order; of a longer
+    one those that a shuffle seeded by its length puts first."""
+    found = [words for words in chains(text) if words]
+    if sum(map(len, found)) > most:
+        random.Random(len(text)).shuffle(found)
+    taken, size = [], 0
+    for words in found:
+        if size >= most:
+            break
+        taken.append(words)
+        size += len(words)
+    return taken
+
+
 def forward_backward(emission: np.ndarray, transition: np.ndarray, length: np.ndarray, pairs: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posteriors of words (n, T, L), of neighbouring words summed (L, L), and log partition (n), for padded chains.
 
@@ -102,18 +121,20 @@ def padded(rows: list[np.ndarray], labels: int) -> tuple[np.ndarray, np.ndarray]
     return out, length
 
 
-def fit(rows: list[tuple[str, str]], *, epochs: int = 6, rate: float = 0.5, l2: float = 1e-6, seed: int = 0) -> dict:
-    """The model from (text, language) rows, as plain data: languages, lexicon entries, weights, transitions."""
+def fit(rows: list[tuple[str, str]], **how) -> dict:
+    """The model from (text, language) rows."""
+    return learn([(sampled(text), y) for text, y in rows], **how)
+
+
+def learn(rows: list[tuple[list[list[str]], str]], *, epochs: int = 6, rate: float = 0.5, l2: float = 1e-6, seed: int = 0) -> dict:
+    """The model from (chains, language) rows, as plain data: languages, lexicon entries, weights, transitions."""
     languages = sorted({y for _, y in rows})
     number = {y: i for i, y in enumerate(languages)}
     runs, counts = [], {y: Counter() for y in languages}
-    for text, y in rows:
-        taken = 0
-        for words in chains(text):
-            if words and taken < SAMPLE_WORDS:
-                runs.append((words, number[y]))
-                counts[y].update(words)
-                taken += len(words)
+    for own, y in rows:
+        for words in own:
+            runs.append((words, number[y]))
+            counts[y].update(words)
     if not runs:
         return {"languages": [], "entries": {}, "weights": np.zeros((SLOTS, 0)), "transitions": np.zeros((0, 0))}
     total = Counter()
@@ -213,17 +234,39 @@ class Tagger:
         return [(self.languages[b], float(min(1.0, t[b] / c))) if c else (UNKNOWN, 0.0) for b, t, c in zip(best, total, count, strict=True)]
 
 
-def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", learn_from=None, most_chars: int = 20_000) -> dict:
-    """Fit on SAMPLE documents of each language, of at most ``most_chars`` characters; a bounded number of texts reaches
-    the driver. ``learn_from``: a condition on the key of rows that may be learned from."""
-    some = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) <= most_chars)).select(F.col(key).alias("_k"), F.col(lang).alias("_l"), F.xxhash64(key, text).alias("_h"))
+def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", learn_from=None) -> dict:
+    """Fit on the sample. ``learn_from``: a condition on the key of rows that may be learned from.
+
+    Ids are chosen without a look at texts, then the texts of the chosen ids are read once; only words reach the driver.
+    """
+    some = docs.where(F.col(lang).isNotNull()).select(F.col(key).alias("_k"), F.col(lang).alias("_l"))
     if learn_from is not None:
         some = some.where(learn_from("_k"))
-    # Spark keeps no more than SAMPLE rows of a language before the shuffle either
-    first = some.withColumn("_n", F.row_number().over(Window.partitionBy("_l").orderBy("_h", "_k"))).where(F.col("_n") <= SAMPLE)
-    texts = docs.select(F.col(key).alias("_i"), F.col(text).alias("_t"))
-    rows = texts.join(F.broadcast(first), F.col("_i").eqNullSafe(F.col("_k")) & (F.xxhash64("_i", "_t") == F.col("_h"))).orderBy("_h", "_k", "_l").select("_t", "_l").collect()
-    return fit([(r[0], r[1]) for r in rows])
+    known = [r[0] for r in some.groupBy("_l").count().orderBy(F.desc("count"), "_l").limit(MOST_LANGUAGES).select("_l").collect()]
+    # twice as many ids as wanted, as some have no text; Spark keeps no more than these of a language before the shuffle either
+    by_id = Window.partitionBy("_l").orderBy(F.xxhash64("_k"), "_k")
+    ids = some.where(F.col("_l").isin(known)).withColumn("_n", F.row_number().over(by_id)).where(F.col("_n") <= 2 * SAMPLE).select("_k", "_l").distinct()
+    own = docs.select(F.col(key).alias("_i"), F.col(lang).alias("_m"), F.col(text).alias("_t"))
+    chosen = own.join(F.broadcast(ids), F.col("_i").eqNullSafe(F.col("_k")) & (F.col("_m") == F.col("_l"))).where(F.col("_t").isNotNull())
+    chosen = chosen.select("_k", "_l", F.xxhash64("_t").alias("_h"), "_t")
+    first = Window.partitionBy("_l").orderBy(F.xxhash64("_k"), "_k", "_h")
+    light = durable(_drawn(chosen), "language-sample")
+    rows = light.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= SAMPLE).orderBy("_l", "_n").select("_c", "_l").collect()
+    release(light)
+    return learn([(r[0], r[1]) for r in rows])
+
+
+def _drawn(chosen: DataFrame) -> DataFrame:
+    """(_k, _l, _h, _t) with the sampled chains of a text for the text."""
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chosen.schema.fields[:3])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, texts in pieces(batch.column(3)):
+                found = pa.array([sampled(t) for t in texts], pa.list_(pa.list_(pa.string())))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, len(texts)) for c in range(3)), found], names=["_k", "_l", "_h", "_c"])
+
+    return chosen.mapInArrow(run, f"{kinds}, _c array<array<string>>")
 
 
 def predict(docs: DataFrame, model: dict, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -233,15 +276,8 @@ def predict(docs: DataFrame, model: dict, *, key: str = "doc_id", text: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(shared.value)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            at = 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) <= 2_000_000):
-                    size += len(texts[end])
-                    end += 1
-                rows = tagger.documents(texts[at:end])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.float64())], names=[key, "lang_pred", "score"])
-                at = end
-
-    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, lang_pred string, score double")
+            for at, texts in pieces(batch.column(1), 2_000_000):
+                rows = tagger.documents(texts)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.float64())], names=["key", "lang_pred", "score"])
+
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, lang_pred string, score double").toDF(key, "lang_pred", "score")
