@@ -21,7 +21,7 @@ from .token_counts import load_ranks
 __all__ = ["Codec", "decode", "encode", "load_ranks", "serialise"]
 
 #: Ids of pre-tokens that a worker remembers; when full, it forgets all.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 
 def byte_characters() -> str:

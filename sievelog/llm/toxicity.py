@@ -24,15 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import LETTERS, durable, lettered, release
+
 SAMPLE = 6000
 #: Features must occur in so many sampled documents, and their rates in the two classes differ by so many standard errors.
 LEAST_DOCS, LEAST_Z = 3, 3.5
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 #: What a sentence's words must outweigh.
 BIAS = -8.0
 
 SENTENCE_END = re.compile(r"[.!?\n]+")
-WORD = re.compile(r"[^\W\d_]+")
 
 
 def features(word: str) -> list[str]:
@@ -51,8 +52,8 @@ def sentences(text: str) -> Iterator[tuple[int, int]]:
 
 def bags(text: str) -> list[set[str]]:
     """The distinct words of each sentence that has any."""
-    lowered = text.lower()
-    return [words for s in SENTENCE_END.split(lowered) if (words := set(WORD.findall(s)))]
+    lowered = lettered(text.lower())
+    return [words for s in SENTENCE_END.split(lowered) if (words := set(LETTERS.findall(s)))]
 
 
 def tells(c0, c1, n0, n1):
@@ -128,14 +129,14 @@ class Scorer:
         """The document's probability, and (start, end, p) of each sentence that is more likely toxic than not."""
         total, found, known = 0.0, [], self.known
         base = float(np.logaddexp(0, self.bias))
-        lowered = text.lower()
-        if not any(map(self.weight, set(WORD.findall(lowered)))):
+        lowered = lettered(text.lower())
+        if not any(map(self.weight, set(LETTERS.findall(lowered)))):
             # no word of this document says anything
             return 0.0, found
         # lower-casing can change lengths; offsets then come from the text as it is
         source = text if len(lowered) == len(text) else None
         for start, end in sentences(lowered if source is not None else text):
-            words = set(WORD.findall(lowered[start:end] if source is not None else text[start:end].lower()))
+            words = set(LETTERS.findall(lowered[start:end] if source is not None else lettered(text[start:end].lower())))
             if not words:
                 continue
             s = 0.0
@@ -161,13 +162,15 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
         some = some.where(learn_from("_k"))
     # twice as many ids as rows wanted, as some have no text
     ids = some.orderBy(F.xxhash64("_k"), "_k", "_y").limit(2 * SAMPLE)
-    texts = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("_k"), F.col(text).alias("_t"), F.xxhash64(text).alias("_h"))
-    keys = texts.select("_k", "_h").join(F.broadcast(ids), "_k").distinct().orderBy(F.xxhash64("_k"), "_k", "_h", "_y").limit(SAMPLE).select("_k", "_h", "_y")
+    texts = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(F.broadcast(ids), "_k").where(F.col("_t").isNotNull())
+    texts = durable(texts.select("_k", F.xxhash64("_t").alias("_h"), "_y", "_t"), "labelled-texts")
+    keys = texts.select("_k", "_h", "_y").distinct().orderBy(F.xxhash64("_k"), "_k", "_h", "_y").limit(SAMPLE)
     chosen = keys.collect()
     n = Counter(r["_y"] for r in chosen)
     if len(n) < 2:
+        release(texts)
         return fit([])
-    rows = texts.join(F.broadcast(docs.sparkSession.createDataFrame(chosen, keys.schema)), ["_k", "_h"]).select("_k", "_h", "_y", "_t")
+    rows = texts.join(F.broadcast(docs.sparkSession.createDataFrame(chosen, keys.schema)), ["_k", "_h", "_y"]).select("_k", "_h", "_y", "_t")
     head, columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:3]), ["_k", "_h", "_y"]
 
     def mapped(make, kind: str, arrow: pa.DataType) -> DataFrame:
@@ -179,14 +182,16 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
         return rows.mapInArrow(run, f"{head}, _f {kind}").dropDuplicates(columns)
 
     def named(text: str) -> list[str]:
-        return sorted({f for word in set(WORD.findall(text.lower())) for f in features(word)})
+        return sorted({f for word in set(LETTERS.findall(lettered(text.lower()))) for f in features(word)})
 
     counts = mapped(named, "array<string>", pa.list_(pa.string())).select("_y", F.explode("_f").alias("f")).groupBy("f").agg(*[F.sum((F.col("_y") == y).cast("long")).alias(f"c{y}") for y in (0, 1)])
     kept = sorted(r.f for r in counts.where(tells(F.col("c0"), F.col("c1"), n[0], n[1])).select("f").collect())
     at = {f: i for i, f in enumerate(kept)}
     pairs = pa.list_(pa.struct([("i", pa.list_(pa.int32())), ("n", pa.int64())]))
     found = mapped(lambda text: [{"i": list(i), "n": n} for i, n in sorted(evidence(text, at).items())], "array<struct<i:array<int>,n:bigint>>", pairs)
-    return descend(kept, [(r["_y"], [(p.i, p.n) for p in r["_f"]]) for r in found.orderBy("_k", "_h", "_y").select("_y", "_f").collect()])
+    learned = [(r["_y"], [(p.i, p.n) for p in r["_f"]]) for r in found.orderBy("_k", "_h", "_y").select("_y", "_f").collect()]
+    release(texts)
+    return descend(kept, learned)
 
 
 def score(docs: DataFrame, model: dict, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -200,9 +205,9 @@ def score(docs: DataFrame, model: dict, *, key: str = "doc_id", text: str = "tex
             rows = [scorer.document(x.as_py() or "") for x in batch.column(1)]
             scores = [s for s, _ in rows]
             found = pa.array([[{"start": a, "end": b, "p": p} for a, b, p in f] for _, f in rows], spans)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), found], names=[key, "score", "predicted", "offending"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), found], names=["key", "score", "predicted", "offending"])
 
-    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, score double, predicted int, offending array<struct<start:int,end:int,p:double>>")
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, score double, predicted int, offending array<struct<start:int,end:int,p:double>>").toDF(key, "score", "predicted", "offending")
 
 
 def keep_clean(docs: DataFrame, model: dict, *, text: str = "text") -> DataFrame:
