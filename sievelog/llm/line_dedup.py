@@ -6,12 +6,15 @@ that occurs twice anywhere is surely in the merged twice-seen filter.
 Pass 2: lines not in the twice-seen filter stay; only the suspects are shuffled, as (digest, document), to be counted
 exactly. Of a line found in at least ``least_docs`` documents, the occurrences in one document stay, the rest go.
 
-The filters have a fixed size (``bits`` each, a parameter): what is broadcast doesn't grow with the data. More lines than
-they are made for mean more false suspects, which cost shuffle and never change the result.
+The filters' size follows the number of rows and is bounded (``bloom.MOST_BITS`` by half), as is the number of tasks that make
+them, so that filters are a small part of what the lines are. More lines than they are made for mean more false suspects,
+which cost shuffle and never change the result. Texts without a line to drop aren't shuffled: a Bloom filter of the rows
+that have one tells them apart, and only those are joined to what they lose.
 
 Defined cases: null and empty texts are one empty line; rows are documents, and rows with one key hold a line together
 (each counts; all of those with the key that stays keep their lines); null keys count as the smallest; a line repeated in
-one document counts once for it, and all its occurrences there stay or go.
+one document counts once for it, and all its occurrences there stay or go; columns may have any names, but n_lines and
+n_dropped are replaced.
 """
 
 from __future__ import annotations
@@ -25,10 +28,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom
+from .bloom import SEGMENTS, has, positions, put
 from .common import SPACE_CHARS, durable
 
-SEGMENTS = 64
-PROBES = 4
+#: Lines of a row that filters are made for, and bytes of filters that a row may cost.
+LINES, COST = 8, 100
 
 
 def line_key(line: str, least_chars: int) -> bytes | None:
@@ -41,33 +46,18 @@ def digest_of(key: bytes) -> bytes:
     return hashlib.blake2b(key, digest_size=16).digest()
 
 
-def positions(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """PROBES bit positions of each hash: (n, PROBES). The halves of the hash give the steps of double hashing."""
-    a, b = hashes & np.uint64(0xFFFFFFFF), (hashes >> np.uint64(32)) | np.uint64(1)
-    return (a[:, None] + b[:, None] * np.arange(1, PROBES + 1, dtype=np.uint64)) % np.uint64(bits)
-
-
 class Filters:
     """A once-seen and a twice-seen Bloom filter."""
 
     def __init__(self, bits: int):
         self.bits, self.once, self.twice = bits, np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
 
-    @staticmethod
-    def _has(table: np.ndarray, at: np.ndarray) -> np.ndarray:
-        return ((table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1)
-
-    @staticmethod
-    def _set(table: np.ndarray, at: np.ndarray) -> None:
-        flat = at.ravel()
-        np.bitwise_or.at(table, flat >> np.uint64(3), np.left_shift(1, (flat & np.uint64(7)).astype(np.uint8), dtype=np.uint8))
-
     def add(self, hashes: np.ndarray) -> None:
         hashes, counts = np.unique(hashes, return_counts=True)
         at = positions(hashes, self.bits)
-        again = (counts > 1) | self._has(self.once, at)
-        self._set(self.twice, at[again])
-        self._set(self.once, at)
+        again = (counts > 1) | has(self.once, at)
+        put(self.twice, at[again])
+        put(self.once, at)
 
 
 def merge(parts: Iterator[tuple[bytes, bytes]]) -> tuple[bytes, bytes]:
@@ -83,10 +73,7 @@ def merge(parts: Iterator[tuple[bytes, bytes]]) -> tuple[bytes, bytes]:
 
 
 def twice_seen(docs: DataFrame, least_chars: int, bits: int, text: str = "text", tasks: int | None = None) -> np.ndarray:
-    """The merged twice-seen filter over all lines.
-
-    At most ``tasks`` tasks (default: twice the cores) make filters, so what is shuffled is that many filters.
-    """
+    """The merged twice-seen filter over all lines. At most ``tasks`` tasks make filters, so what is shuffled is that many."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters, hashes = Filters(bits), []
@@ -108,7 +95,7 @@ def twice_seen(docs: DataFrame, least_chars: int, bits: int, text: str = "text",
         _, twice = merge((a.as_py(), b.as_py()) for part in parts for a, b in zip(part.column("once"), part.column("twice"), strict=True))
         yield pa.RecordBatch.from_pydict({"segment": pa.array([key[0].as_py()], pa.int32()), "twice": [twice]})
 
-    tasks = tasks or 2 * docs.sparkSession.sparkContext.defaultParallelism
+    tasks = tasks or docs.sparkSession.sparkContext.defaultParallelism
     made = docs.select(text).coalesce(tasks).mapInArrow(build, "segment int, once binary, twice binary")
     table, size = np.zeros(bits // 8, np.uint8), bits // 8 // SEGMENTS
     for segment, twice in made.groupBy("segment").applyInArrow(join, "segment int, twice binary").toLocalIterator():
@@ -116,11 +103,17 @@ def twice_seen(docs: DataFrame, least_chars: int, bits: int, text: str = "text",
     return table
 
 
-def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least_chars: int = 40, least_docs: int = 5, bits: int = 1 << 26) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least_chars: int = 40, least_docs: int = 5, bits: int | None = None) -> DataFrame:
     """``docs`` with repeated lines removed from ``text``, and columns n_lines, n_dropped."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(twice_seen(docs, least_chars, bits, text).tobytes())
-    kind = docs.schema[key].dataType.simpleString()
+    spark, rows = docs.sparkSession, docs.count()
+    bits = bits or bloom.bits_for(LINES * rows, bloom.MOST_BITS // 2)
+    tasks = max(spark.sparkContext.defaultParallelism, COST * rows // (bits // 4))
+    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    # by place, so that no name of the caller's can clash with one of ours
+    own = docs.select(*names).toDF(*[f"c{i}" for i in range(len(names))])
+    key, text, at = f"c{names.index(key)}", f"c{names.index(text)}", names.index(text)
+    shared = spark.sparkContext.broadcast(twice_seen(own, least_chars, bits, text, tasks).tobytes())
+    kind = own.schema[key].dataType.simpleString()
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(shared.value, np.uint8)
@@ -128,26 +121,32 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lea
             keys, owner, found = [], [], []
             for i, value in enumerate(batch.column(2)):
                 # a key once a document, whatever it repeats
-                own = {k for line in (value.as_py() or "").split("\n") if (k := line_key(line, least_chars)) is not None}
-                keys += own
-                owner += [i] * len(own)
+                lines = {k for line in (value.as_py() or "").split("\n") if (k := line_key(line, least_chars)) is not None}
+                keys += lines
+                owner += [i] * len(lines)
             if not keys:
                 continue
-            seen = Filters._has(table, positions(np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64), bits))
-            found = np.flatnonzero(seen)
+            found = np.flatnonzero(has(table, positions(np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64), bits)))
             rows = pa.array([owner[i] for i in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array([digest_of(keys[i]) for i in found], pa.binary())], names=["_key", "_row", "_digest"])
-
-    marked = docs.withColumn("_row", F.xxhash64(text))
-    light = durable(marked.select(F.col(key).alias("_key"), "_row", text).mapInArrow(suspects, f"_key {kind}, _row long, _digest binary"), "suspects")
-    # one row per line before the shuffle from each task, however frequent it is
-    lines = light.groupBy("_digest").agg(F.count("*").alias("docs"), F.max("_key").alias("_keep")).where(F.col("docs") >= least_docs)
-    gone = light.join(lines.select("_digest", "_keep"), "_digest").where(~F.col("_key").eqNullSafe(F.col("_keep")))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array([digest_of(keys[i]) for i in found], pa.binary())], names=["key", "row", "digest"])
+
+    marked = own.withColumn("row", F.xxhash64(key, text))
+    light = durable(marked.select(F.col(key).alias("key"), "row", text).mapInArrow(suspects, f"key {kind}, row long, digest binary"), "suspects")
+    shared.destroy()
+    # one row per line before the shuffle from each task, however frequent it is; as a table, so that Spark can split the
+    # join where a line is
+    lines = light.groupBy("digest").agg(F.count("*").alias("docs"), F.max("key").alias("keep")).where(F.col("docs") >= least_docs)
+    lines = durable(lines.select("digest", "keep"), "repeated-lines")
+    gone = light.join(lines, "digest").where(~F.col("key").eqNullSafe(F.col("keep")))
     # rows with one key and text are one group here: each loses the same lines
-    gone = durable(gone.groupBy("_key", "_row").agg(F.collect_set("_digest").alias("_gone")), "dropped-lines").select(F.col("_key").alias("_k"), F.col("_row").alias("_r"), "_gone")
-    joined = marked.join(gone, marked[key].eqNullSafe(gone["_k"]) & (marked["_row"] == gone["_r"]), "left").drop("_k", "_r", "_row")
-    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    at = names.index(text)
+    gone = durable(gone.groupBy("key", "row").agg(F.collect_set("digest").alias("gone")), "dropped-lines")
+
+    size = bloom.bits_for(gone.count())
+    losing = spark.sparkContext.broadcast(bloom.of(gone.select("row"), size).tobytes())
+    maybe = bloom.known_in("row", losing, size)
+    joined = marked.where(maybe).withColumnRenamed(key, "k").withColumnRenamed("row", "r")
+    joined = joined.join(gone, joined["k"].eqNullSafe(gone["key"]) & (joined["r"] == gone["row"]), "left").withColumnRenamed("k", key)
+    columns = [f"c{i}" for i in range(len(names))]
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,8 +163,13 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lea
                     n_lines.append(value.count("\n") + 1)
                     n_dropped.append(0)
                 texts.append(value)
-            columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=[*names, "n_lines", "n_dropped"])
-
-    schema = docs.select(*names).schema.add("n_lines", "long").add("n_dropped", "long")
-    return joined.select(*names, "_gone").mapInArrow(rebuild, schema)
+            out = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*out, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=[*columns, "n_lines", "n_dropped"])
+
+    schema = own.schema.add("n_lines", "long").add("n_dropped", "long")
+    touched = joined.select(*columns, "gone").mapInArrow(rebuild, schema)
+    # the others lose nothing, and need no Python: a null text is one empty line
+    filled = F.coalesce(F.col(text), F.lit(""))
+    breaks = F.length(filled) - F.length(F.replace(filled, F.lit("\n"), F.lit("")))
+    others = marked.where(~maybe).select(*[filled.alias(c) if c == text else F.col(c) for c in columns], (breaks + 1).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
+    return touched.unionByName(others).toDF(*names, "n_lines", "n_dropped")

@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sievelog.llm import ann, bag_minhash, byte_bpe, lang_crf, line_dedup, token_counts, toxicity
+from sievelog.llm import ann, bag_minhash, bloom, byte_bpe, lang_crf, line_dedup, token_counts, toxicity
 
 P = pytest.importorskip("public_tokenizers")
 tiktoken = pytest.importorskip("tiktoken")
@@ -119,7 +119,7 @@ def test_twice_seen_filter_has_no_false_negatives():
         filters.append((f.once.tobytes(), f.twice.tobytes()))
     _, twice = line_dedup.merge(iter(filters))
     every, counts = np.unique(np.concatenate([np.unique(p) for p in parts]), return_counts=True)
-    seen = line_dedup.Filters._has(np.frombuffer(twice, np.uint8), line_dedup.positions(every, 1 << 14))
+    seen = bloom.has(np.frombuffer(twice, np.uint8), bloom.positions(every, 1 << 14))
     assert seen[counts > 1].all() and seen[counts == 1].mean() < 0.2
 
 
