@@ -11,8 +11,8 @@ Equal vectors are filed once, with their smallest ids (as many as a query may re
 out), and equal queries are searched once. Leaves are cut into pieces of about ``PIECE`` vectors, so a full leaf is shared
 by many tasks. The trees, whose size depends on the sample alone, are broadcast.
 
-Defined cases: vectors that are null, all zero, or hold null or non-finite components take no part; neither do those whose
-length isn't the sample's most frequent one, nor those without an id as candidates; equal distances are ordered by id, and
+Defined cases: vectors that are null, all zero, or hold null or non-finite components take no part, nor do those without an
+id as candidates; vectors of different lengths aren't compared; equal distances are ordered by id, and
 of the vectors seen none is left out for another at the same distance with a greater id; fewer than ``k`` other vectors: all of
 them; rows with one id and several vectors are each a candidate, and a query; rows with one id and one vector count once.
 """
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import durable
+from .common import durable, release
 
 SAMPLE, LEAF, TREES, PIECE = 20_000, 48, 16, 4096
 
@@ -132,26 +133,44 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 10, key: str = "
     ``recall``: what the search is set to find of the sample's true neighbours; it decides how many leaves are visited.
     """
     spark = vectors.sparkSession
-    usable = lambda df, id_: df.where(F.col(vector).isNotNull() & (F.size(vector) > 0) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(vector, lambda x: x != 0)).select(F.col(key).alias(id_), F.transform(vector, lambda x: x.cast("double") + F.lit(0.0)).alias("v")).withColumn("h", F.unhex(F.md5(F.to_json(F.struct("v")))))
+    # single precision travels as it is, and is widened where it is compared
+    real = "float" if vectors.schema[vector].dataType.elementType.simpleString() == "float" else "double"
+
+    def usable(df: DataFrame, name: str) -> DataFrame:
+        """(name, v, h): the vectors that take part, and a hash that tells them apart; minus zero counts as zero."""
+        broken = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+        whole = df.where(F.col(vector).isNotNull() & (F.size(vector) > 0) & ~broken & F.exists(vector, lambda x: x != 0))
+        whole = whole.select(F.col(key).alias(name), F.transform(vector, lambda x: x.cast(real) + F.lit(0.0).cast(real)).alias("v"))
+        return whole.withColumn("h", F.unhex(F.md5(F.concat_ws(",", F.xxhash64("v"), F.xxhash64(F.lit(1), "v")))))
+
     smallest = Window.partitionBy("h").orderBy(F.col("id").asc_nulls_last())
     ids = durable(usable(vectors, "id").select("h", "id", "v").dropDuplicates(["h", "id"]), "vectors")
     # the first k + 1 ids of equal vectors; Spark keeps no more than these of a group before the shuffle either
     firsts = ids.withColumn("nth", F.row_number().over(smallest)).where(F.col("nth") <= k + 1)
     distinct = durable(firsts.groupBy("h").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.min_by("v", "nth").alias("v")), "distinct-vectors")
+    asked = durable(usable(queries, "q"), "queries")
+    kind = vectors.schema[key].dataType.simpleString()
+    # distances are between vectors of one length, of which a table has one as a rule: each is searched by itself
+    lengths = sorted(r[0] for r in distinct.select(F.size("v")).distinct().collect())
+    parts = [_search(distinct.where(F.size("v") == dim), asked.where(F.size("v") == dim), dim, kind, real, k, recall, seed) for dim in lengths]
+    release(distinct, ids)
+    if not parts:
+        return spark.createDataFrame([], f"query_id {kind}, rank int, {key} {kind}, score double")
+    ranked = reduce(DataFrame.union, parts)
+    return ranked.select(F.col("q").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias(key), "score")
+
+
+def _search(distinct: DataFrame, asked: DataFrame, dim: int, kind: str, real: str, k: int, recall: float, seed: int) -> DataFrame:
+    """(q, rank, id, score) for vectors (h, ids, v) and queries (q, v, h) of ``dim`` components."""
+    spark = distinct.sparkSession
     sample = distinct.orderBy(F.xxhash64("h", F.lit(seed))).limit(SAMPLE).select("v").collect()
-    schema = f"query_id {vectors.schema[key].dataType.simpleString()}, rank int, {key} {vectors.schema[key].dataType.simpleString()}, score double"
-    if not sample:
-        return spark.createDataFrame([], schema)
-    lengths = [len(r.v) for r in sample]
-    dim = max(sorted(set(lengths)), key=lengths.count)
-    known = np.array([r.v for r in sample if len(r.v) == dim])
+    known = np.array([r.v for r in sample], float)
     forest = Forest(known, seed=seed)
     share = forest.share_for(known, recall, k)
     forest = spark.sparkContext.broadcast(forest)
-    distinct, asked = distinct.where(F.size("v") == dim), durable(usable(queries, "q").where(F.size("v") == dim), "queries")
 
     def matrix(column: pa.Array) -> np.ndarray:
-        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dim)
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dim).astype(np.float64)
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,11 +185,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 10, key: str = "
                 same = pa.array(np.full(len(found), n))
                 yield pa.RecordBatch.from_arrays([pa.array(found), batch.column(0).take(same), batch.column(1).take(same)], names=["leaf", "qh", "qv"])
 
-    kind = vectors.schema[key].dataType.simpleString()
-    filed = distinct.where(F.size("ids") > 0).select("h", "v", F.col("ids")[0].alias("id")).mapInArrow(file, f"leaf long, h binary, v array<double>, id {kind}")
+    filed = distinct.where(F.size("ids") > 0).select("h", "v", F.col("ids")[0].alias("id")).mapInArrow(file, f"leaf long, h binary, v array<{real}>, id {kind}")
     sizes = durable(filed.groupBy("leaf").agg(F.ceil(F.count("*") / PIECE).alias("pieces")), "leaf-sizes")
     filed = filed.join(sizes, "leaf").select("leaf", F.pmod(F.xxhash64("h"), "pieces").alias("piece"), "h", "v", "id")
-    probes = asked.groupBy("h").agg(F.first("v").alias("v")).select("h", "v").mapInArrow(probe, "leaf long, qh binary, qv array<double>")
+    probes = asked.groupBy("h").agg(F.first("v").alias("v")).select("h", "v").mapInArrow(probe, f"leaf long, qh binary, qv array<{real}>")
     probes = probes.join(sizes, "leaf").select("leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"), "qh", "qv")
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -207,6 +225,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 10, key: str = "
     pairs = best.join(distinct.select("h", "ids"), "h").select("qh", "score", F.explode("ids").alias("id"))
     first = Window.partitionBy("qh").orderBy("score", "id")
     short = durable(pairs.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= k + 1).select("qh", "score", "id"), "nearest")
+    forest.destroy()
+    release(sizes)
     mine = asked.select("q", "h").distinct().join(short, F.col("h") == F.col("qh")).where(~F.col("q").eqNullSafe(F.col("id")))
-    ranked = mine.withColumn("rank", F.row_number().over(Window.partitionBy("q", "h").orderBy("score", "id"))).where(F.col("rank") <= k)
-    return ranked.select(F.col("q").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias(key), "score")
+    return mine.withColumn("rank", F.row_number().over(Window.partitionBy("q", "h").orderBy("score", "id"))).where(F.col("rank") <= k).select("q", "rank", "id", "score")
