@@ -5,16 +5,21 @@
 2. A source's quota is its target, rounded. Quotas are cut into slots of one block each, in passes ("epochs") over the
    source: within a pass every block occurs once, at the place that a pseudorandom permutation of block indices (one per
    source and pass) gives it. The last slot is cut where the quota ends.
-3. Output shards have ``shard`` slots each. Which source fills how many slots of a shard is a multinomial draw conditioned
-   on the quotas: a pseudorandom permutation of all slots deals them to shards. Unconditioned draws would miss the targets
-   by their own noise and could take a capped source more often than it may be.
-4. Slots and blocks are joined by (source, block index). A block occurs in at most one slot a pass, so no key is frequent.
+3. Output shards have ``shard`` slots each. Which source fills how many slots of a shard is a multinomial draw: each slot
+   draws one of all quota slots with replacement, by a hash of its number, and so its source. The draws of a source are
+   numbered through, shard by shard, and a permutation (one per source) maps them to its quota's slots. Draws alone would miss
+   the targets by their own noise and take a capped source more often than it may be; so a source's draws beyond its
+   quota, which are those that the permutation maps there, are given to the slots that sources drawn too seldom have left.
+   Some sqrt(slots) of them change hands; every quota is then met exactly.
+4. Within a shard, slots are placed by another permutation. Slots and blocks are joined by (source, block index). A block
+   occurs in at most one slot a pass, so no key is frequent.
 
 All of it is arithmetic on indices: reruns give the same mix. Targets: shares of all words by weight, each stopped at
 ``most`` times its source's size, the excess reshared by weight.
 
 Defined cases: null text has size 0; sources are taken in code point order with null last, each null source row belongs to
-one source; rows of size 0 take 0; repeated rows are documents of their own; empty input gives an empty mix.
+one source; rows of size 0 take 0 and lie in no shard; repeated rows are documents of their own; rows without an id take
+part like others; empty input gives an empty mix; columns of the input may have any names.
 """
 
 from __future__ import annotations
@@ -28,6 +33,8 @@ from pyspark.sql.window import Window
 from .common import SPACE, chunks_for, durable
 
 BLOCK, SHARD, ROUNDS = 256, 1024, 3
+#: Slots made by a task, drawn slots that are looked up together, and shards summed together.
+PER_TASK, BIN, CHUNK = 65_536, 8192, 1024
 #: Multipliers of the permutations; a prime that divides the number of indices is not used for it. Fixed values.
 PRIMES = (15485863, 15485867, 15485917)
 
@@ -61,6 +68,11 @@ def permuted(i: Column, n: Column, bits: Column, seed: Column) -> Column:
     return i
 
 
+def hashed(*parts: Column) -> Column:
+    """A number below 2^60 from a hash of the parts' text; parts that are null count as not there."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 15), 16, 10).cast("long")
+
+
 def bits_of(n: Column) -> Column:
     return F.length(F.conv(F.greatest(n, F.lit(1)).cast("string"), 10, 2)) - 1
 
@@ -91,10 +103,9 @@ def streamed(rows: DataFrame, chunks: int) -> DataFrame:
     """Rows (…, id, source, size) with ``start``, their place in their source's stream.
 
     A running sum in two steps: within chunks of documents, then over the sums of chunks, so that no task holds a source.
-    Order: by id modulo the number of chunks, then id; null ids last; rows of one id by size.
+    Order: by chunk, which is a hash of id and size, then id, null ids last; rows of one id by size.
     """
-    chunk = F.coalesce(F.pmod("id", F.lit(chunks)), F.lit(chunks))
-    rows = rows.withColumn("chunk", chunk)
+    rows = rows.withColumn("chunk", hashed(F.col("id"), F.col("size")) % chunks)
     sums = rows.groupBy("source", "chunk").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(F.col("source").alias("s"), F.col("chunk").alias("c"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("offset"))
@@ -104,25 +115,69 @@ def streamed(rows: DataFrame, chunks: int) -> DataFrame:
     return joined.withColumn("start", F.col("start") + F.col("offset")).drop("s", "c", "offset", "chunk")
 
 
-def slots(plan: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
-    """(shard, place, rank, epoch, block, slot_words): every slot of the mix, from ``targets``' plan."""
+def quotas(plan: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``targets``' plan with ``n``, the slots of each source's quota, and ``first``, those of the sources before it."""
     full, tail, size, quota = F.floor(F.col("source_size") / block), F.col("source_size") % block, F.col("source_size"), F.col("quota")
     per_epoch = full + F.when(tail > 0, 1).otherwise(0)
     epochs = F.floor(quota / size)
     n = epochs * per_epoch + F.ceil((quota - epochs * size) / block)
-    counted = plan.where(F.col("quota") > 0).withColumns({"full": full, "per_epoch": per_epoch, "n": n, "bits": bits_of(full)})
-    first = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-    counted = counted.withColumns({"first": F.coalesce(F.sum("n").over(first), F.lit(0)), "all_slots": F.sum("n").over(Window.partitionBy(F.lit(0)))})
-    counted = counted.withColumn("all_bits", bits_of(F.col("all_slots")))
-    # two steps, so that a source's slots are made by many tasks
-    runs = counted.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / 8192))))
-    runs = runs.repartition(F.col("rank"), F.col("run"))
-    dealt = runs.withColumn("k", F.explode(F.sequence(F.col("run") * 8192, F.least(F.col("n"), (F.col("run") + 1) * 8192) - 1)))
-    epoch, j = F.floor(F.col("k") / F.col("per_epoch")), F.col("k") % F.col("per_epoch")
+    counted = plan.where(F.col("quota") > 0).select("rank", "source_size", "quota", full.alias("full"), per_epoch.alias("per_epoch"), n.alias("n"), bits_of(full).alias("bits"))
+    before = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    return counted.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
+
+
+def drawn(counted: DataFrame, shard: int = SHARD, per_task: int = PER_TASK) -> DataFrame:
+    """(shard, rank, c): how many slots of each shard the multinomial draw gives to each source that gets any."""
+    spark, slots = counted.sparkSession, counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    tasks = max(1, -(-slots // per_task))
+    draws = spark.range(0, slots, 1, tasks).select(F.floor(F.col("id") / shard).alias("shard"), (hashed(F.col("id")) % max(1, slots)).alias("x"))
+    draws = draws.withColumn("bin", F.floor(F.col("x") / BIN))
+    bins = counted.select("rank", "first", (F.col("first") + F.col("n")).alias("last"))
+    bins = bins.withColumn("bin", F.explode(F.sequence(F.floor(F.col("first") / BIN), F.floor((F.col("last") - 1) / BIN))))
+    # as many rows as slots by BIN and sources: not to be broadcast unseen
+    found = draws.join(bins.hint("merge"), "bin").where((F.col("x") >= F.col("first")) & (F.col("x") < F.col("last")))
+    return found.groupBy("shard", "rank").agg(F.count("*").alias("c"))
+
+
+def slots(plan: DataFrame, block: int = BLOCK, shard: int = SHARD, per_task: int = PER_TASK) -> DataFrame:
+    """(shard, place, rank, epoch, block, slot_words): every slot of the mix, from ``targets``' plan."""
+    counted = durable(quotas(plan, block), "quotas")
+    draws = durable(drawn(counted, shard, per_task), "draws")
+    count = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    tasks = max(1, -(-count // per_task))
+    # of each source: what it drew, and the surplus or the gaps of those before it
+    sources = counted.join(draws.groupBy("rank").agg(F.sum("c").alias("got")), "rank", "left").withColumn("got", F.coalesce("got", F.lit(0)))
+    before = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    over, short = F.greatest(F.col("got") - F.col("n"), F.lit(0)), F.greatest(F.col("n") - F.col("got"), F.lit(0))
+    sources = sources.withColumns({"over_before": F.coalesce(F.sum(over).over(before), F.lit(0)), "short_before": F.coalesce(F.sum(short).over(before), F.lit(0))})
+    sources = durable(sources, "drawn-sources")
+
+    # the number of a shard's first draw of a source: a running sum in two steps, over chunks of shards and within them
+    chunked = draws.withColumn("chunk", F.floor(F.col("shard") / CHUNK))
+    of_chunks = chunked.groupBy("rank", "chunk").agg(F.sum("c").alias("sum"))
+    of_chunks = of_chunks.select("rank", "chunk", F.coalesce(F.sum("sum").over(Window.partitionBy("rank").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
+    within = Window.partitionBy("rank", "chunk").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    chunked = chunked.withColumn("k0", F.coalesce(F.sum("c").over(within), F.lit(0))).join(of_chunks, ["rank", "chunk"])
+    in_shard = Window.partitionBy("shard").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    chunked = chunked.select("shard", "rank", "c", (F.col("k0") + F.col("offset")).alias("k0"), F.coalesce(F.sum("c").over(in_shard), F.lit(0)).alias("p0"))
+    runs = chunked.join(sources.select("rank", "n", "got", "over_before"), "rank").repartition(tasks, "shard", "rank")
+    each = runs.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1)))
+    inside = F.least(F.lit(shard).cast("long"), F.lit(count) - F.col("shard") * shard)
+    each = each.select(
+        "shard", permuted(F.col("p0") + F.col("i"), inside, bits_of(inside), F.col("shard") + 40009).alias("place"), "rank", "n", "over_before",
+        permuted(F.col("k0") + F.col("i"), F.col("got"), bits_of(F.col("got")), F.col("rank") * 31 + 20011).alias("v"),
+    )
+    kept = each.where(F.col("v") < F.col("n")).select("shard", "place", "rank", F.col("v").alias("k"))
+    surplus = each.where(F.col("v") >= F.col("n")).select("shard", "place", (F.col("v") - F.col("n") + F.col("over_before")).alias("r"))
+    gaps = sources.where(F.col("n") > F.col("got")).select("rank", "got", "short_before", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - F.col("got") - 1)).alias("i"))
+    gaps = gaps.select("rank", (F.col("got") + F.col("i")).alias("k"), (F.col("short_before") + F.col("i")).alias("r"))
+    given = surplus.join(gaps.hint("merge"), "r").select("shard", "place", "rank", "k")
+
+    dealt = kept.union(given).join(counted.select("rank", "full", "per_epoch", "bits", "source_size", "quota"), "rank")
+    epoch, j, size, quota = F.floor(F.col("k") / F.col("per_epoch")), F.col("k") % F.col("per_epoch"), F.col("source_size"), F.col("quota")
     chosen = F.when(j < F.col("full"), permuted(j, F.greatest(F.col("full"), F.lit(1)), F.col("bits"), F.col("rank") * 31 + epoch * 17 + 1)).otherwise(F.col("full"))
     words = F.least(F.lit(block).cast("long"), size - j * block, quota - epoch * size - j * block)
-    place = permuted(F.col("first") + F.col("k"), F.col("all_slots"), F.col("all_bits"), F.lit(20011).cast("long"))
-    return dealt.select(F.floor(place / shard).alias("shard"), (place % shard).alias("place"), "rank", epoch.alias("epoch"), chosen.alias("block"), words.alias("slot_words"))
+    return dealt.select("shard", "place", "rank", epoch.alias("epoch"), chosen.alias("block"), words.alias("slot_words"))
 
 
 def mix(rows: DataFrame, weights: Sequence[float], *, most: float = 3.0, block: int = BLOCK, shard: int = SHARD) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -148,35 +203,66 @@ def mix(rows: DataFrame, weights: Sequence[float], *, most: float = 3.0, block:
     return placed, plan, pieces
 
 
-def mixed_sizes(docs: DataFrame, weights: Sequence[float], *, key: str = "doc_id", text: str = "text", source: str = "source", most: float = 3.0, block: int = BLOCK) -> DataFrame:
-    """One row per document: key, size, source_size, target, taken (words that the mix takes, repeats counted)."""
+def mixed_sizes(docs: DataFrame, weights: Sequence[float], *, key: str = "doc_id", text: str = "text", source: str = "source", most: float = 3.0, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
+    """One row per document: key, size, source_size, target, taken (words that the mix takes, repeats counted), and of the
+    first slot that has words of it shard and place (null if none has)."""
     rows = durable(docs.select(F.col(key).alias("id"), F.col(source).alias("source"), size_of(text).alias("size")), "sizes")
-    placed, _, pieces = mix(rows, weights, most=most, block=block)
-    taken = pieces.groupBy("rank", "start").agg(F.sum("words").alias("taken"))
+    placed, _, pieces = mix(rows, weights, most=most, block=block, shard=shard)
+    taken = pieces.groupBy("rank", "start").agg(F.sum("words").alias("taken"), F.min(F.struct("shard", "place")).alias("slot"))
     # rows of size 0 share their start with the row after them
     with_words = placed.where(F.col("size") > 0).join(taken, ["rank", "start"], "left")
-    none = placed.where(F.col("size") == 0).withColumn("taken", F.lit(0).cast("long"))
-    return with_words.unionByName(none).select(F.col("id").alias(key), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+    none = placed.where(F.col("size") == 0).withColumns({"taken": F.lit(0).cast("long"), "slot": F.lit(None).cast(taken.schema["slot"].dataType)})
+    out = with_words.unionByName(none)
+    return out.select(F.col("id").alias(key), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), F.col("slot.shard").alias("shard"), F.col("slot.place").alias("place"))
+
+
+def _pieces_of(docs: DataFrame, weights: Sequence[float], key: str, text: str, source: str, most: float, block: int, shard: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """``docs`` that have words, packed into ``_row`` beside what tells them apart; the mix's pieces with that; its names.
+
+    Rows that agree in id, source, text's hash and size are numbered. The light table is made once, so both sides agree.
+    """
+    same = ["_id", "_source", "_hash", "_size"]
+    marked = docs.select(F.struct(*docs.columns).alias("_row"), F.col(key).alias("_id"), F.col(source).alias("_source"), F.xxhash64(F.col(text)).alias("_hash"), size_of(text).alias("_size"))
+    copy = lambda order: F.row_number().over(Window.partitionBy(*same).orderBy(order))
+    # rows without words belong to their source but to no slot: one row of a source will do, as they add nothing to its size
+    light = marked.select(*same)
+    light = durable(light.where(F.col("_size") > 0).withColumn("_copy", copy(F.lit(0))).unionByName(light.where(F.col("_size") == 0).dropDuplicates(["_source"]).withColumn("_copy", F.lit(0))), "sizes")
+    rows = light.select(F.col("_id").alias("id"), F.col("_source").alias("source"), F.col("_size").alias("size"), F.col("_hash").alias("hash"), F.col("_copy").alias("copy"))
+    placed, _, pieces = mix(rows, weights, most=most, block=block, shard=shard)
+    names = placed.where(F.col("size") > 0).select("rank", "start", F.struct(F.col("id").alias("_id"), F.col("source").alias("_source"), F.col("hash").alias("_hash"), F.col("size").alias("_size"), F.col("copy").alias("_copy")).alias("_name"))
+    numbered = marked.where(F.col("_size") > 0).withColumn("_copy", copy(F.xxhash64("_row"))).select("_row", F.struct(*same, "_copy").alias("_name"))
+    return numbered, pieces.join(names, ["rank", "start"]), same
+
+
+def _words(text: Column) -> Column:
+    """A text's words, each with the white space that follows it."""
+    return F.split(F.regexp_replace(text, f"^[{SPACE}]+", ""), rf"(?<=[{SPACE}])(?=[^{SPACE}])")
 
 
-def mixed_documents(docs: DataFrame, weights: Sequence[float], *, key: str = "doc_id", text: str = "text", source: str = "source", most: float = 3.0, block: int = BLOCK) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: Sequence[float], *, key: str = "doc_id", text: str = "text", source: str = "source", most: float = 3.0, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
     """The mix as documents: the columns of ``docs``, a row for each pass that takes words of a document.
 
     A pass that takes the whole document repeats its text as it is; one that takes some of its blocks has those words, in
     order, each with the white space that follows it. Documents of which the mix takes no words don't occur. Texts are
-    shuffled once, by key.
+    shuffled once.
     """
-    columns = docs.columns
-    same = ["_id", "_source", "_text_hash", "_size"]
-    marked = docs.withColumns({"_id": F.col(key), "_source": F.col(source), "_text_hash": F.xxhash64(text), "_size": size_of(text)})
-    copy = Window.partitionBy("_id").orderBy("_source", "_text_hash", "_size")
-    light = durable(marked.select(*same).withColumn("_copy", F.row_number().over(copy)), "sizes")
-    rows = light.select(F.col("_id").alias("id"), F.col("_source").alias("source"), F.col("_size").alias("size"), "_copy")
-    placed, _, pieces = mix(rows, weights, most=most, block=block)
-    epochs = pieces.groupBy("rank", "start", "epoch").agg(F.sort_array(F.collect_list(F.struct("word_from", "words"))).alias("runs"), F.sum("words").alias("taken"))
-    epochs = placed.where(F.col("size") > 0).select("rank", "start", F.col("id").alias("_i"), F.col("_copy").alias("_c")).join(epochs, ["rank", "start"]).select("_i", "_c", "runs", "taken")
-    numbered = marked.withColumn("_copy", F.row_number().over(copy))
-    taken = numbered.join(epochs, numbered["_id"].eqNullSafe(epochs["_i"]) & (numbered["_copy"] == epochs["_c"]))
-    words = F.split(F.regexp_replace(F.col(text), f"^[{SPACE}]+", ""), rf"(?<=[{SPACE}])(?=[^{SPACE}])")
-    cut = F.array_join(F.flatten(F.transform("runs", lambda r: F.slice(words, r["word_from"].cast("int") + 1, r["words"].cast("int")))), "")
-    return taken.withColumn(text, F.when(F.col("taken") == F.col("_size"), F.col(text)).otherwise(cut)).select(*columns)
+    numbered, pieces, _ = _pieces_of(docs, weights, key, text, source, most, block, shard)
+    passes = pieces.groupBy("_name", "epoch").agg(F.sort_array(F.collect_list(F.struct("word_from", "words"))).alias("_runs"), F.sum("words").alias("_taken"))
+    taken = numbered.join(passes.drop("epoch"), "_name")
+    own = F.col("_row").getField(text)
+    words = _words(own)
+    cut = F.array_join(F.flatten(F.transform("_runs", lambda r: F.slice(words, r["word_from"].cast("int") + 1, r["words"].cast("int")))), "")
+    whole = F.when(F.col("_taken") == F.col("_name._size"), own).otherwise(cut)
+    return taken.select(*[whole.alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in docs.columns])
+
+
+def mixed_blocks(docs: DataFrame, weights: Sequence[float], *, key: str = "doc_id", text: str = "text", source: str = "source", most: float = 3.0, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
+    """The mix laid out: one row per slot: shard, place, source, n_words, text. Slots have ``block`` words, but for the last block
+    of a source and the last slot of a quota. Words keep the white space after them; documents follow each other at a newline."""
+    numbered, pieces, _ = _pieces_of(docs, weights, key, text, source, most, block, shard)
+    of_doc = pieces.groupBy("_name").agg(F.collect_list(F.struct("shard", "place", "start", "word_from", "words")).alias("_runs"))
+    cut = numbered.join(of_doc, "_name").withColumn("_words", _words(F.col("_row").getField(text)))
+    part = F.array_join(F.slice("_words", F.col("run.word_from").cast("int") + 1, F.col("run.words").cast("int")), "")
+    cut = cut.select(F.col("_name._source").alias("source"), "_words", F.explode("_runs").alias("run")).select("source", "run.shard", "run.place", "run.start", "run.words", part.alias("part"))
+    laid = cut.groupBy("shard", "place").agg(F.first("source").alias("source"), F.sum("words").alias("n_words"), F.sort_array(F.collect_list(F.struct("start", "part"))).alias("parts"))
+    return laid.select("shard", "place", "source", "n_words", F.array_join(F.col("parts.part"), "\n").alias("text"))

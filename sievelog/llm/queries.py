@@ -29,7 +29,9 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled outcomes: a page is bad if the document of its id is labelled as of low quality."""
     pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
     outcomes = pages.select("page_id", "url").join(labels.select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad")), "page_id").select("url", "bad")
-    return url_filter.judge(pages, outcomes, RULES).select("page_id", "host", "path", "rule", "verdict")
+    judged = url_filter.judge(pages, outcomes, RULES)
+    # sums of doubles differ in their last digits with the order in which they are taken
+    return judged.withColumns({c: F.round(c, 6) for c in judged.columns if c.startswith("bad_")})
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,11 +125,13 @@ every AS (SELECT coalesce(sum(bad), 0) + 0.5 AS a, count(*) - coalesce(sum(bad),
     "domain", "SELECT domain, s.n, s.bad, {prior} AS prior FROM (SELECT domain, suffix, count(*)::DOUBLE AS n, sum(bad) AS bad FROM seen GROUP BY ALL) s JOIN suffix_post USING (suffix)", "domain", "a / (a + b)"
 ) + _level("host", "SELECT host, s.n, s.bad, {prior} AS prior FROM (SELECT host, domain, count(*)::DOUBLE AS n, sum(bad) AS bad FROM seen GROUP BY ALL) s JOIN domain_post USING (domain)", "host", "a / (a + b)") + f"""
 judged AS (SELECT page_id, host, path, CASE
-{_RULE} END AS rule, coalesce(h.a, d.a, s.a, e.a) AS a, coalesce(h.b, d.b, s.b, e.b) AS b
-  FROM named LEFT JOIN host_post h USING (host) LEFT JOIN domain_post d USING (domain) LEFT JOIN suffix_post s USING (suffix), every e)
-SELECT page_id, host, path, rule, CASE rule
+{_RULE} END AS rule, coalesce(h.a, d.a, s.a, e.a) AS bad_a, coalesce(h.b, d.b, s.b, e.b) AS bad_b, 1.25 * e.a / (e.a + e.b) AS bad_limit
+  FROM named LEFT JOIN host_post h USING (host) LEFT JOIN domain_post d USING (domain) LEFT JOIN suffix_post s USING (suffix), every e),
+bounds AS (SELECT *, bad_a / (bad_a + bad_b) AS m, bad_a + bad_b + 1 AS n1 FROM judged),
+low AS (SELECT *, greatest(0, m - 1.645 * sqrt(m * (1 - m) / n1)) AS bad_bound FROM bounds)
+SELECT page_id, host, path, rule, round(bad_a, 6) AS bad_a, round(bad_b, 6) AS bad_b, round(bad_bound, 6) AS bad_bound, round(bad_limit, 6) AS bad_limit, CASE rule
 {_VERDICT}
-    ELSE CASE WHEN a / (a + b) - 1.645 * sqrt(a / (a + b) * (b / (a + b)) / (a + b + 1)) > 0.5 THEN 'block' ELSE 'allow' END END AS verdict FROM judged"""
+    ELSE CASE WHEN bad_bound > bad_limit THEN 'block' ELSE 'allow' END END AS verdict FROM low"""
 
 _WS = r"[\x20\x09-\x0D]"
 _OP3 = f"""WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '{_WS}+', ' ', 'g')) AS h FROM documents),
@@ -152,30 +156,49 @@ def _permuted(i: str, n: str, bits: str, seed: str) -> tuple[str, str]:
     return ", ".join(columns), at
 
 
+def _hashed(text: str) -> str:
+    return f"('0x' || substr(md5({text}), 1, 15))::BIGINT"
+
+
 def _op4() -> str:
-    """Targets, stream, slots and blocks as ``mixing`` makes them, with DuckDB's windows and lists."""
-    b = mixing.BLOCK
+    """Targets, stream, draws, slots and blocks as ``mixing`` makes them, with DuckDB's windows and lists."""
+    b, h = mixing.BLOCK, mixing.SHARD
+    log2 = lambda n: f"floor(log2(greatest({n}, 1)))::INT"
     chosen, block = _permuted("j", "greatest(full_blocks, 1)", "bits", "rank * 31 + epoch * 17 + 1")
+    place, placed = _permuted("p", "inside", "bits", "shard + 40009")
+    slot, v = _permuted("k", "got", "bits", "rank * 31 + 20011")
+    before = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
     return f"""WITH d AS (SELECT doc_id AS id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
 c AS (SELECT greatest(16, CASE WHEN count(*) > 20000 THEN (1::BIGINT << ceil(log2(count(*) / 20000.0))::INT) ELSE 1 END) AS chunks FROM d),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source COLLATE "C") - 1 AS rank FROM s),
 w AS (SELECT *, list_extract([{", ".join(map(str, WEIGHTS))}], rank % {len(WEIGHTS)} + 1)::DOUBLE AS weight FROM r),
 f AS (SELECT *, (sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER cap, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER cap, 0)) AS level
-  FROM w WINDOW cap AS (ORDER BY source_size / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  FROM w WINDOW cap AS (ORDER BY source_size / weight, rank {before})),
 t AS (SELECT source, source_size, rank, least(coalesce((SELECT level FROM f WHERE level * weight <= 3 * source_size ORDER BY source_size / weight, rank LIMIT 1), 0) * weight, 3.0 * source_size) AS target FROM f),
 q AS (SELECT *, round(target)::BIGINT AS quota, source_size // {b} AS full_blocks, source_size // {b} + (source_size % {b} > 0)::INT AS per_epoch FROM t),
-n AS (SELECT *, quota // source_size AS epochs, floor(log2(greatest(full_blocks, 1)))::INT AS bits FROM q WHERE quota > 0),
-k AS (SELECT *, unnest(range(epochs * per_epoch + (quota - epochs * source_size + {b - 1}) // {b})) AS k FROM n),
-e AS (SELECT *, k // per_epoch AS epoch, k % per_epoch AS j FROM k),
-x AS (SELECT rank, CASE WHEN j < full_blocks THEN v ELSE full_blocks END AS block, words FROM (
-  SELECT *, {chosen}, {block} AS v, least({b}, source_size - j * {b}, quota - epoch * source_size - j * {b}) AS words FROM e)),
-p AS (SELECT d.*, sum(size) OVER (PARTITION BY source ORDER BY chunk, id NULLS LAST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, row_number() OVER () AS row
-  FROM (SELECT d.*, coalesce(((id % chunks) + chunks) % chunks, chunks) AS chunk FROM d, c) d),
-o AS (SELECT p.*, coalesce(before, 0)::BIGINT AS start, t.rank, t.source_size, t.target FROM p JOIN t ON t.source IS NOT DISTINCT FROM p.source),
-m AS (SELECT *, unnest(range(start // {b}, (start + size - 1) // {b} + 1)) AS block FROM o WHERE size > 0),
-g AS (SELECT row, sum(greatest(0, least(start + size, m.block * {b} + words) - greatest(start, m.block * {b})))::BIGINT AS taken FROM m JOIN x ON x.rank = m.rank AND x.block = m.block GROUP BY row)
-SELECT id AS doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM o LEFT JOIN g USING (row)"""
+n AS (SELECT *, quota // source_size AS epochs, {log2("full_blocks")} AS bits, (quota // source_size) * per_epoch + (quota % source_size + {b - 1}) // {b} AS n FROM q WHERE quota > 0),
+o AS (SELECT *, coalesce(sum(n) OVER (ORDER BY rank {before}), 0)::BIGINT AS first, (sum(n) OVER ())::BIGINT AS total FROM n),
+u AS (SELECT g // {h} AS shard, {_hashed("g::VARCHAR")} % total AS x FROM (SELECT total, unnest(range(total)) AS g FROM (SELECT DISTINCT total FROM o))),
+y AS (SELECT shard, rank, count(*)::BIGINT AS c FROM u JOIN o ON x >= first AND x < first + n GROUP BY ALL),
+z AS (SELECT o.*, coalesce(got, 0)::BIGINT AS got, coalesce(sum(greatest(coalesce(got, 0) - n, 0)) OVER i, 0)::BIGINT AS over_before, coalesce(sum(greatest(n - coalesce(got, 0), 0)) OVER i, 0)::BIGINT AS short_before
+  FROM o LEFT JOIN (SELECT rank, sum(c) AS got FROM y GROUP BY rank) USING (rank) WINDOW i AS (ORDER BY rank {before})),
+e AS (SELECT shard, rank, c, coalesce(sum(c) OVER (PARTITION BY rank ORDER BY shard {before}), 0)::BIGINT AS k0, coalesce(sum(c) OVER (PARTITION BY shard ORDER BY rank {before}), 0)::BIGINT AS p0 FROM y),
+a AS (SELECT shard, rank, n, got, over_before, least({h}, total - shard * {h}) AS inside, k0 + i AS k, p0 + i AS p FROM (SELECT *, unnest(range(c)) AS i FROM e) JOIN z USING (rank)),
+pl AS (SELECT shard, rank, n, got, over_before, k, {placed} AS place FROM (SELECT *, {log2("inside")} AS bits, {place} FROM a)),
+vs AS (SELECT shard, rank, n, over_before, place, {v} AS v FROM (SELECT *, {log2("got")} AS bits, {slot} FROM pl)),
+gaps AS (SELECT rank, got + i AS k, short_before + i AS r FROM (SELECT *, unnest(range(n - got)) AS i FROM z WHERE n > got)),
+dealt AS (SELECT shard, place, rank, v AS k FROM vs WHERE v < n UNION ALL SELECT shard, place, gaps.rank, gaps.k FROM vs JOIN gaps ON gaps.r = v - n + over_before WHERE v >= n),
+ks AS (SELECT dealt.*, k // per_epoch AS epoch, k % per_epoch AS j, full_blocks, source_size, quota, bits FROM dealt JOIN n USING (rank)),
+x AS (SELECT shard, place, rank, CASE WHEN j < full_blocks THEN v ELSE full_blocks END AS block, words FROM (
+  SELECT *, {chosen}, {block} AS v, least({b}, source_size - j * {b}, quota - epoch * source_size - j * {b}) AS words FROM ks)),
+p AS (SELECT d.*, sum(size) OVER (PARTITION BY source ORDER BY chunk, id NULLS LAST, size {before}) AS before, row_number() OVER () AS row
+  FROM (SELECT d.*, {_hashed("concat_ws(':', id, size)")} % chunks AS chunk FROM d, c) d),
+st AS (SELECT p.*, coalesce(before, 0)::BIGINT AS start, t.rank, t.source_size, t.target FROM p JOIN t ON t.source IS NOT DISTINCT FROM p.source),
+m AS (SELECT *, unnest(range(start // {b}, (start + size - 1) // {b} + 1)) AS block FROM st WHERE size > 0),
+g AS (SELECT row, sum(least(start + size, m.block * {b} + words) - greatest(start, m.block * {b}))::BIGINT AS taken, min(shard * {h} + place) AS slot
+  FROM m JOIN x ON x.rank = m.rank AND x.block = m.block WHERE least(start + size, m.block * {b} + words) > greatest(start, m.block * {b}) GROUP BY row)
+SELECT id AS doc_id, size, source_size, target, coalesce(taken, 0) AS taken, slot // {h} AS shard, slot % {h} AS place FROM st LEFT JOIN g USING (row)"""
 
 
 def oracle_sql() -> dict[str, str]:
