@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import copy
 import math
+import time
+from contextvars import ContextVar
 from functools import cmp_to_key
 
 from .parser import Node, parse
@@ -11,6 +13,8 @@ from .values import UNDEF, Constructed, ExpressionError, Seq, collapse, equal, i
 
 UP = "\0up"  # in a scope: (value, scope) of what the current value was reached from
 MOST_RANGE = 10_000_000
+#: Milliseconds at which the evaluation under way began.
+CLOCK: ContextVar[int | None] = ContextVar("clock", default=None)
 
 
 class Scope:
@@ -47,13 +51,15 @@ class Lambda(Function):
 
 
 class Builtin(Function):
-    """``context``: the current value stands in for a first argument that is left out."""
+    """``context``: the current value stands in for a first argument that is left out; for a last one, if it is "last"."""
 
-    def __init__(self, name: str, call, least: int, most: int, context: bool):
+    def __init__(self, name: str, call, least: int, most: int, context: bool | str):
         self.name, self.call, self.least, self.most, self.context, self.arity = name, call, least, most, context, most
 
     def __call__(self, args: list, value=UNDEF):
-        if self.context and len(args) < self.least:
+        if self.context == "last" and len(args) == self.most - 1:
+            args = [*args, value]
+        elif self.context and len(args) < self.least:
             args = [value, *args]
         if not self.least <= len(args) <= self.most:
             raise ExpressionError(f"${self.name}: {len(args)} arguments")
@@ -667,7 +673,12 @@ class Expression:
         names = {"$": document}
         if variables is not UNDEF:
             names["vars"] = variables
+        # the time is that of the outermost evaluation, whatever it calls
+        began = CLOCK.set(time.time_ns() // 1_000_000) if CLOCK.get() is None else None
         try:
             return collapse(self.run(document if not isinstance(document, list) else value[0], Scope(names, Scope(library(), None))))
         except RecursionError:
             raise ExpressionError("evaluation nested too deeply") from None
+        finally:
+            if began is not None:
+                CLOCK.reset(began)

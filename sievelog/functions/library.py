@@ -6,18 +6,17 @@ import base64
 import math
 import random
 import re
-import time
 import urllib.parse
 from functools import cache, cmp_to_key
 
 from . import pictures
-from .interpreter import Builtin, Function, Regex, call_with, items_of
+from .interpreter import CLOCK, Builtin, Function, Regex, call_with, items_of
 from .values import UNDEF, ExpressionError, Seq, equal, is_number, json_text, kind_of, number_text, truth
 
 _FUNCTIONS: dict[str, Builtin] = {}
 
 
-def builtin(name: str, least: int, most: int | None = None, context: bool = False, undefined: bool = True):
+def builtin(name: str, least: int, most: int | None = None, context: bool | str = False, undefined: bool = True):
     """Registers a function. ``undefined``: an absent first argument gives an absent result."""
 
     def register(call):
@@ -229,7 +228,7 @@ def _replace(x, pattern, new, limit=UNDEF):
     return pattern.pattern.sub(one, x, 0 if count is None else count)
 
 
-@builtin("eval", 1, 2, context=True)
+@builtin("eval", 1, 2, context="last")
 def _eval(source, document=UNDEF):
     from .interpreter import Expression
     from .values import ParseError
@@ -603,12 +602,12 @@ def _each(x, f):
     return Seq(y for k, v in x.items() if (y := call_with(f, v, k, x)) is not UNDEF)
 
 
-# time: constant within an evaluation is left to the caller; both read the clock
+# time: one for all calls of an evaluation
 
 
 @builtin("millis", 0, undefined=False)
 def _millis():
-    return float(time.time_ns() // 1_000_000)
+    return float(CLOCK.get())
 
 
 @builtin("now", 0, 2, undefined=False)

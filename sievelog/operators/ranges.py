@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import pairwise
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,62 +24,68 @@ class Position:
     value: int = 0
 
 
-def _integer(text: str, message: str, most: int = MOST_LONG) -> int:
-    sign, digits = (text[:1], text[1:]) if text[:1] in ("+", "-") else ("", text)
-    if not (digits.isascii() and digits.isdigit()) or not -most - 1 <= int(sign + digits) <= most:
-        raise ValueError(message)
-    return int(sign + digits)
+class RangeError(ValueError):
+    """All that is wrong with one option."""
+
+
+#: An entry of a partition list, and a position. Blanks around entries and plus signs are allowed.
+_SPAN = re.compile(r"\s*\+?(?P<low>[0-9]+)(?:-\+?(?P<high>[0-9]+))?\s*")
+_POSITION = re.compile(r"(?P<edge>beginning|end)|s@\+?(?P<start_ms>[0-9]+)|e@\+?(?P<end_ms>[0-9]+)|-(?P<back>[0-9]+)|\+?(?P<offset>[0-9]+)")
+
+
+def _complain(option: str, problems: Sequence[str]) -> None:
+    if problems:
+        raise RangeError(f"{option}: {'; '.join(problems)}")
 
 
 def parse_partitions(values: Sequence[str]) -> list[int]:
-    """``0,2,4-6`` in the order given; no empty entry, repetition, negative number or descending range."""
-    found: dict[int, None] = {}
-    for entry in (x.strip() for value in values for x in value.split(",")):
-        if not entry:
-            raise ValueError("partition selection contains an empty entry")
-        first, dash, last = entry.partition("-") if entry[0] != "-" else (entry, "", "")
-        ends = [_integer(x, f"partition {x!r} must be a non-negative integer", MOST_INT) for x in ([first, last] if dash else [first])]
-        if min(ends) < 0:
-            raise ValueError(f"partition must be non-negative, received {min(ends)}")
-        if ends[0] > ends[-1]:
-            raise ValueError(f"partition range {entry!r} must be in ascending order")
-        if len(found) + ends[-1] - ends[0] + 1 > MOST_PARTITIONS:
-            raise ValueError(f"partition selection expands beyond the {MOST_PARTITIONS} partition limit")
-        for p in range(ends[0], ends[-1] + 1):
-            if p in found:
-                raise ValueError(f"duplicate partition selection {p}")
-            found[p] = None
-    return list(found)
+    """``0,2,4-6`` as partitions, in the order written. Spans ascend, overlap nowhere and name MOST_PARTITIONS at most."""
+    spans, problems = [], []
+    for entry in ",".join(values).split(","):
+        if (found := _SPAN.fullmatch(entry)) is None:
+            problems.append(f"{entry!r} is neither a partition nor a span such as 4-6")
+            continue
+        low = int(found["low"])
+        high = low if found["high"] is None else int(found["high"])
+        if high < low or high > MOST_INT:
+            problems.append(f"{entry!r} doesn't ascend to a partition's number")
+        else:
+            spans.append((low, high))
+    if (size := sum(high - low + 1 for low, high in spans)) > MOST_PARTITIONS:
+        problems.append(f"{size} partitions, and {MOST_PARTITIONS} can be read at once")
+    problems += [f"partition {later[0]} is there twice" for before, later in pairwise(sorted(spans)) if later[0] <= before[1]]
+    _complain("partitions", problems)
+    return [p for low, high in spans for p in range(low, high + 1)]
 
 
 def parse_positions(offsets: Sequence[str], end_offset: int | None = None) -> tuple[Position, Position | None]:
-    """Start and end of ``beginning``, ``end``, ``N``, ``-N``, ``s@ms`` and ``e@ms``."""
+    """Start and end of ``beginning``, ``end``, ``N``, ``-N``, ``s@ms`` and ``e@ms``; the start is the beginning by default."""
+    starts, ends, problems = [], [] if end_offset is None else [Position("offset", end_offset)], []
+    for text in offsets:
+        found = _POSITION.fullmatch(text)
+        if found is None or (kind := found.lastgroup) != "edge" and int(found[kind]) > MOST_LONG:
+            problems.append(f"{text!r} is none of beginning, end, N, -N, s@MS and e@MS")
+        elif kind == "edge":
+            starts.append(Position(found[kind]))
+        elif kind.endswith("_ms"):
+            (starts if kind == "start_ms" else ends).append(Position("timestamp", int(found[kind])))
+        else:
+            # nothing before the end is the offset 0, as it reads
+            n = int(found[kind])
+            starts.append(Position("before_end" if kind == "back" and n else "offset", n))
     if end_offset is not None and end_offset < 0:
-        raise ValueError("end offset must be non-negative")
-    start, end = None, None if end_offset is None else Position("offset", end_offset)
+        problems.append(f"the end {end_offset} lies before the first offset")
+    problems += [f"{len(found)} {side} positions, and a run has one" for side, found in (("start", starts), ("end", ends)) if len(found) > 1]
+    _complain("positions", problems)
+    return starts[0] if starts else Position("beginning"), ends[0] if ends else None
 
-    def millis(text: str, label: str) -> int:
-        ms = _integer(text, f"{label} must be milliseconds since Unix epoch")
-        if ms < 0:
-            raise ValueError(f"{label} must be non-negative")
-        return ms
 
-    for text in offsets:
-        if text.startswith("e@"):
-            if end is not None:
-                raise ValueError("only one end boundary may be specified")
-            end = Position("timestamp", millis(text[2:], "end timestamp"))
-            continue
-        if start is not None:
-            raise ValueError("only one start position may be specified")
-        if text in ("beginning", "end"):
-            start = Position(text)
-        elif text.startswith("s@"):
-            start = Position("timestamp", millis(text[2:], "start timestamp"))
-        else:
-            n = _integer(text, f"unsupported offset position {text!r}")
-            start = Position("before_end", -n) if n < 0 else Position("offset", n)
-    return start or Position("beginning"), end
+def discovered(log: DataFrame, topic: str) -> list[int]:
+    """The topic's partitions, in order; a topic without any is an error, as are more than a run can read."""
+    own = log.where(F.col("topic") == topic).select("partition").distinct().orderBy("partition").limit(MOST_PARTITIONS + 1)
+    found = [r.partition for r in own.collect()]
+    _complain("topic", [f"the log has no partition of {topic!r}"] * (not found) + [f"{topic!r} has more than {MOST_PARTITIONS} partitions"] * (len(found) > MOST_PARTITIONS))
+    return found
 
 
 def shards(partitions: Sequence[int], consumers: int) -> list[list[int]]:
@@ -91,16 +99,20 @@ def select_partitions(log: DataFrame, partitions: Sequence[int] | None) -> DataF
     return log if partitions is None else log.where(F.col("partition").isin(*partitions))
 
 
-def boundaries(log: DataFrame, start: Position, end: Position | None) -> DataFrame:
+def boundaries(log: DataFrame, start: Position, end: Position | None, edges: DataFrame | None = None) -> DataFrame:
     """One row per partition: partition, low, high, start, end (exclusive), by one aggregation of offsets and timestamps.
 
-    Timestamps are offset boundaries, not filters: the first record at or after them, or the end where there is none.
+    ``edges`` (partition, low, high): what the source itself knows of the log; if no timestamp is to be found, no record is
+    read then. Timestamps are offset boundaries, not filters: the first record at or after them, or the end where there is
+    none. An absolute start outside of a partition is an error whatever the policy; its end is a place to start from.
     """
     ms = F.unix_millis("timestamp")
     first_at = lambda t: F.min(F.when(ms >= t, F.col("offset")))
-    wanted = [F.min("offset").alias("low"), (F.max("offset") + 1).alias("high")]
-    wanted += [first_at(p.value).alias(name) for name, p in (("start_at", start), ("end_at", end)) if p and p.kind == "timestamp"]
-    found = log.groupBy("partition").agg(*wanted)
+    timed = [first_at(p.value).alias(name) for name, p in (("start_at", start), ("end_at", end)) if p and p.kind == "timestamp"]
+    if edges is not None and not timed:
+        found = edges.select("partition", "low", "high")
+    else:
+        found = log.groupBy("partition").agg(F.min("offset").alias("low"), (F.max("offset") + 1).alias("high"), *timed)
     high, low = F.col("high"), F.col("low")
 
     def resolve(p: Position, name: str) -> Column:
@@ -112,12 +124,12 @@ def boundaries(log: DataFrame, start: Position, end: Position | None) -> DataFra
 
     first = resolve(start, "start")
     if start.kind == "offset":
-        # a position outside the log is an error whatever the policy
-        first = F.when(first > high, F.raise_error(F.concat(F.lit("offset error: offset "), first, F.lit(" is out of range of partition "), F.col("partition"))).cast("long")).otherwise(first)
+        said = F.concat(F.lit("offset error: partition "), F.col("partition"), F.lit(" holds "), low, F.lit(" to "), high, F.lit(f", and not {start.value}"))
+        first = F.when((first > high) | (first < low), F.raise_error(said).cast("long")).otherwise(first)
     return found.select("partition", "low", "high", first.alias("start"), (resolve(end, "end") if end else high).alias("end"))
 
 
-def bounded(log: DataFrame, start: Position, end: Position | None, strict: bool = True) -> DataFrame:
+def bounded(log: DataFrame, start: Position, end: Position | None, strict: bool = True, edges: DataFrame | None = None) -> DataFrame:
     """The records within [start, end) of each partition.
 
     Absolute offsets are plain filters and reach the scan. Others take ``boundaries``: a row per partition, of which there
@@ -130,7 +142,7 @@ def bounded(log: DataFrame, start: Position, end: Position | None, strict: bool
         for c in conditions:
             log = log.where(c)
         return log
-    limits = boundaries(log, start, end).select(F.col("partition").alias("_partition"), F.col("start").alias("_start"), F.col("end").alias("_end"))
+    limits = boundaries(log, start, end, edges).select(F.col("partition").alias("_partition"), F.col("start").alias("_start"), F.col("end").alias("_end"))
     for p, test in ((start, F.col("offset") >= start.value), (end, F.col("offset") < (end.value if end else 0))):
         if p is not None and p.kind == "offset":
             log = log.where(test)

@@ -123,7 +123,7 @@ class Worker:
             out = self._run(self.projection, document, "projection")
             try:
                 if out is UNDEF:
-                    raise ExpressionError("result is undefined")
+                    raise ExpressionError("result is Undefined")
                 text = json_text(out).encode()
             except (ExpressionError, UnicodeEncodeError, RecursionError) as error:
                 raise ExpressionError(f"projection evaluation error: {error}") from None
@@ -148,7 +148,8 @@ class Worker:
     def _predicate(self, expression: Expression, document, category: str) -> bool:
         out = self._run(expression, document, category)
         if type(out) is not bool:
-            raise ExpressionError(f"{category} evaluation error: result must be a Boolean, got {kind_of(out)}")
+            kind = "Undefined" if out is UNDEF else kind_of(out)
+            raise ExpressionError(f"{category} evaluation error: result must be a Boolean, received {kind}")
         return out
 
 

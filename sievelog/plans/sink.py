@@ -1,4 +1,4 @@
-"""Writing rendered records: to a byte stream through the driver, or in parallel to files."""
+"""Writing rendered records: to a byte stream through the driver."""
 
 from __future__ import annotations
 
@@ -22,8 +22,3 @@ def to_stream(rendered: DataFrame, out: BinaryIO, unbuffered: bool = False) -> i
     except BrokenPipeError:
         pass
     return written
-
-
-def to_files(rendered: DataFrame, path: str) -> None:
-    """Parquet by partition of the log, each file in order of offset."""
-    rendered.sortWithinPartitions("partition", "offset").write.partitionBy("partition").parquet(path)

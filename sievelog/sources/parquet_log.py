@@ -53,6 +53,15 @@ def _offsets(path: str) -> dict[int, tuple[int, int]]:
     return found
 
 
+def edges(spark: SparkSession, path: str) -> DataFrame | None:
+    """(partition, low, high) of a stored log from its files' statistics, so that no record is read for them; None for a
+    folder that the driver doesn't reach as a file path."""
+    local = path.removeprefix("file://")
+    if "://" in local or not os.path.isdir(local) or not (found := _offsets(local)):
+        return None
+    return spark.createDataFrame([(p, low, high) for p, (low, high) in sorted(found.items())], "partition int, low long, high long")
+
+
 def _batches(path: str, part: Range) -> Iterator[pa.RecordBatch]:
     """The records of a range, as Arrow batches of the record's schema."""
     data = ds.dataset(os.path.join(path, f"partition={part.partition}"), format="parquet")

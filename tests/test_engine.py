@@ -1,4 +1,6 @@
 import io
+import os
+import signal
 import threading
 import time
 
@@ -29,56 +31,83 @@ def run(payload, **plan):
 
 # transforms
 
+SENSOR = b'{"sensor":"t-7","reading":{"celsius":21.50,"ok":true},"tags":["roof","north"]}'
 
-@pytest.mark.parametrize(("payload", "plan", "action", "out"), [
-    (b"{}", {"drops": ("true",), "tombstones": ("true",), "projection": "1"}, "drop", None),
-    (b"{}", {"drops": ("false",), "tombstones": ("true",), "projection": "1"}, "tombstone", None),
-    (b"{}", {"projection": "1"}, "project", b"1"),
-    (b'{ "a" : 1 }', {}, "pass", b'{ "a" : 1 }'),
-    (b'{"first":1}', {"drops": ("first = 1", '$error("must not run")')}, "drop", None),
-    (None, {"drops": ('$error("x")',), "projection": "missing"}, "tombstone", None),
-    (None, {"projection": "id", "drop_tombstones": True}, "drop", None),
-    (b'{"deleted":true,"id":1}', {"tombstones": ("deleted",), "drop_tombstones": True, "projection": "id"}, "drop", None),
-    (b'{"deleted":false,"id":1}', {"tombstones": ("deleted",), "drop_tombstones": True, "projection": "id"}, "project", b"1"),
-    (b"{}", {"projection": "null"}, "project", b"null"),
-    (b"", {}, "pass", b""),
-    (b'{"value":9007199254740993}', {"projection": "value"}, "project", b"9007199254740992"),
-    (b'{"tenant":"acme"}', {"variables": '{"tenant":"acme","cutoff":1000}', "drops": ("tenant != $vars.tenant",), "projection": '{"tenant": tenant, "cutoff": $vars.cutoff}'}, "project", b'{"tenant":"acme","cutoff":1000}'),
-])
-def test_actions(payload, plan, action, out):
-    assert run(payload, **plan)[:2] == (action, out)
 
+def outcome(plan, payload=SENSOR):
+    return run(payload, **plan)[:2]
+
+
+class TestOrderOfActions:
+    """A record takes the first action that holds: its own absence, then drops, tombstones, the projection."""
+
+    def test_without_expressions_bytes_stay(self):
+        assert outcome({}) == ("pass", SENSOR) and outcome({}, b"") == ("pass", b"") and outcome({}, b"\xfe\x00") == ("pass", b"\xfe\x00")
+
+    def test_no_payload_is_never_read(self):
+        everything = {"drops": ("$assert(false)",), "tombstones": ("1",), "projection": "nothing.here"}
+        assert outcome(everything, None) == ("tombstone", None)
+        assert outcome(everything | {"drop_tombstones": True}, None) == ("drop", None)
+
+    @pytest.mark.parametrize("held", range(4))
+    def test_first_predicate_that_holds_decides(self, held):
+        # whatever stands behind it would fail
+        tests = ["reading.ok" if i == held else "reading.celsius > 40" if i < held else "$error('read too far')" for i in range(4)]
+        assert outcome({"drops": tuple(tests), "projection": "$error('read too far')"}) == ("drop", None)
+        assert outcome({"tombstones": tuple(tests), "projection": "$error('read too far')"}) == ("tombstone", None)
+
+    def test_drops_come_before_tombstones(self):
+        both = {"drops": ('sensor = "t-7"',), "tombstones": ("reading.ok",)}
+        assert outcome(both) == ("drop", None) and outcome(both | {"drops": ('sensor = "t-8"',)}) == ("tombstone", None)
+
+    @pytest.mark.parametrize("cold", [True, False])
+    def test_tombstones_can_be_dropped_and_the_rest_projected(self, cold):
+        plan = {"tombstones": (f"reading.celsius {'<' if cold else '>'} 100",), "projection": "tags[0]"}
+        assert outcome(plan) == (("tombstone", None) if cold else ("project", b'"roof"'))
+        assert outcome(plan | {"drop_tombstones": True}) == (("drop", None) if cold else ("project", b'"roof"'))
+
+    def test_projections(self):
+        made = {"reading.celsius": b"21.5", "nothing ?? null": b"null", "tags": b'["roof","north"]', "[tags, nothing]": b'["roof","north"]', '{"n": $count(tags), "no": nothing}': b'{"n":2}', "36028797018963969": b"36028797018963970"}
+        assert {source: outcome({"projection": source}) for source in made} == {source: ("project", text) for source, text in made.items()}
 
-@pytest.mark.parametrize("source", ["missing", "null", "0", '"value"', "[]", "{}", "$sum"])
-def test_predicates_are_booleans(source):
-    action, _, _, issue, error = run(b"{}", drops=(source,))
-    assert (action, issue) == ("fail", "Evaluation")
-    assert error.startswith("drop predicate #1") and "result must be a Boolean" in error
+    def test_variables(self):
+        plan = {"variables": '{"alarm":{"celsius":20},"site":"harbour"}', "drops": ("reading.celsius <= $vars.alarm.celsius",), "projection": '$vars.site & "/" & sensor & $vars.unset'}
+        assert outcome(plan) == ("project", b'"harbour/t-7"')
+        assert outcome(plan, b'{"reading":{"celsius":3}}') == ("drop", None)
 
 
-@pytest.mark.parametrize("source", ["$sum", "/x/", "[$sum]", '{"value": $sum}', "missing", '$error("failure")'])
+@pytest.mark.parametrize(("source", "kind"), [("nothing", "Undefined"), ("tags", "array"), ("reading", "object"), ("sensor", "string"), ("reading.celsius", "number"), ("null", "null"), ("$count", "function")])
+def test_predicates_are_booleans(source, kind):
+    for place, number in (("drops", 1), ("tombstones", 2)):
+        action, _, _, issue, error = run(SENSOR, **{place: ("false",) * (number - 1) + (source,)})
+        assert (action, issue) == ("fail", "Evaluation")
+        assert error == f"{place[:-1]} predicate #{number} evaluation error: result must be a Boolean, received {kind}"
+
+
+@pytest.mark.parametrize("source", ["$count", "/no+rth/", "tags.($uppercase)", '{"deep": [{"f": $count}]}', "nothing", '$error("no reading")', "sensor * 2"])
 def test_projections_are_json(source):
-    assert run(b"{}", projection=source)[4].startswith("projection")
+    assert run(SENSOR, projection=source)[4].startswith("projection evaluation error: ")
     for policy in ("drop", "tombstone"):
-        assert run(b"{}", projection=source, evaluation=policy, drop_tombstones=True)[0] == policy
+        assert run(SENSOR, projection=source, evaluation=policy, drop_tombstones=True)[0] == policy
 
 
-@pytest.mark.parametrize("policy", ["drop", "tombstone", "pass", "fail"])
-def test_invalid_json(policy):
-    out = run(b"{ not json \xff", force_json=True, invalid=policy, drop_tombstones=True)
-    assert out[0] == policy and out[3] == "InvalidJson"
-    assert out[1] == (b"{ not json \xff" if policy == "pass" else None)
+@pytest.mark.parametrize("payload", [b'{"sensor":', b"\xc3\x28", b"'t-7'", b"", b"1 2"])
+def test_invalid_json(payload):
+    for policy in ("fail", "drop", "tombstone", "pass"):
+        out = run(payload, force_json=True, invalid=policy, drop_tombstones=True)
+        assert (out[0], out[1], out[3]) == (policy, payload if policy == "pass" else None, "InvalidJson")
+        assert (out[4] or "invalid JSON: ").startswith("invalid JSON: ")
 
 
 def test_compact_pass_keeps_source_length():
-    out = Worker(TransformPlan(force_json=True), embeds_json=True).execute(b'{\n  "a": 1\n}')
-    assert out[:3] == ("pass", b'{"a":1}', 12)
+    spaced = SENSOR.replace(b":", b" : ")
+    assert Worker(TransformPlan(force_json=True), embeds_json=True).execute(spaced)[:3] == ("pass", SENSOR.replace(b"21.50", b"21.5"), len(spaced))
 
 
 def test_plan_validation():
-    with pytest.raises(PlanError, match="drop predicate #1 JSONata parse error"):
-        TransformPlan(drops=('environment === "production"',)).validate()
-    for bad in ("{tenant:1}", "[]", "null"):
+    with pytest.raises(PlanError, match="tombstone predicate #2 JSONata parse error"):
+        TransformPlan(tombstones=("reading.ok", "reading.ok ==")).validate()
+    for bad in ("[1]", "7", "", "{'a':1}"):
         with pytest.raises(PlanError):
             TransformPlan(variables=bad).validate()
 
@@ -128,17 +157,51 @@ def test_ranges(spark, options, expected):
     assert offsets_of(LogQuery("events", **options), records(spark, b"a", b"b", b"c", b"d")) == expected
 
 
-def test_start_past_the_end_fails(spark):
-    with pytest.raises(Exception, match="offset error"):
-        offsets_of(LogQuery("events", offsets=("100",), on_kafka_error="continue"), records(spark, b"a"))
+@pytest.mark.parametrize("start", ["0", "2", "8"])
+def test_start_outside_of_the_log_fails(spark, start):
+    log = records(spark, *[b"x"] * 7).where("offset >= 3")
+    for edges in (None, spark.createDataFrame([(0, 3, 7)], "partition int, low long, high long")):
+        with pytest.raises(Exception, match="offset error: partition 0 holds 3 to 7"):
+            LogQuery("events", offsets=(start,), on_kafka_error="continue").admitted(log, edges).collect()
+    assert offsets_of(LogQuery("events", offsets=("7",)), log) == [] and offsets_of(LogQuery("events", offsets=("3",)), log) == [3, 4, 5, 6]
+
+
+def test_edges_spare_the_log(spark):
+    log = records(spark, *[b"x"] * 7)
+    unread = log.withColumn("offset", F.raise_error(F.lit("read")).cast("long"))
+    edges = spark.createDataFrame([(0, 0, 7)], "partition int, low long, high long")
+    found = ranges.boundaries(unread, ranges.Position("before_end", 2), ranges.Position("snapshot"), edges)
+    assert [tuple(r) for r in found.collect()] == [(0, 0, 7, 5, 7)]
+    assert offsets_of_edges(log, edges) == [5, 6]
+
+
+def offsets_of_edges(log, edges):
+    return sorted(r.offset for r in LogQuery("events", offsets=("-2",), snapshot=True).admitted(log, edges).collect())
 
 
 def test_partition_selection():
-    assert ranges.parse_partitions(["0,2,4-6", "8"]) == [0, 2, 4, 5, 6, 8]
-    for bad in ("2-1", "0,,1", "0-2,2", "0-100000", "-1", "x"):
-        with pytest.raises(ValueError):
+    assert ranges.parse_partitions(["3-5 ,1", " 9", "+7"]) == [3, 4, 5, 1, 9, 7]
+    for bad, said in (("5-3", "ascend"), ("1,,2", "neither"), ("4,2-6", "partition 4 is there twice"), ("7-200000", "can be read at once"), ("-3", "neither"), ("two", "neither"), ("", "neither"), ("4294967296", "ascend")):
+        with pytest.raises(ValueError, match=said):
             ranges.parse_partitions([bad])
-    assert ranges.shards(range(6), 4) == [[0, 4], [1, 5], [2], [3]]
+    with pytest.raises(ValueError, match="'a' .*'9-8' .*partition 1 is there twice"):
+        ranges.parse_partitions(["a,9-8,1,1"])
+    assert ranges.shards([4, 5, 6, 7, 8], 2) == [[4, 6, 8], [5, 7]] and ranges.shards([1, 2], 5) == [[1], [2]]
+
+
+def test_positions():
+    P = ranges.Position
+    assert ranges.parse_positions([]) == (P("beginning"), None) and ranges.parse_positions(["end"], 9) == (P("end"), P("offset", 9))
+    assert ranges.parse_positions(["e@20", "s@+10"]) == (P("timestamp", 10), P("timestamp", 20)) and ranges.parse_positions(["-0"]) == (P("offset", 0), None)
+    with pytest.raises(ValueError, match="'soon' .*2 start positions.*2 end positions"):
+        ranges.parse_positions(["soon", "4", "-4", "e@1"], 8)
+
+
+def test_discovery(spark):
+    log = records(spark, b"a").union(records(spark, b"b", partition=4)).union(records(spark, b"c", partition=9, topic="other"))
+    assert ranges.discovered(log, "events") == [0, 4]
+    with pytest.raises(ValueError, match="no partition of 'orders'"):
+        ranges.discovered(log, "orders")
 
 
 def test_counts_are_of_input(spark):
@@ -160,9 +223,10 @@ def rendered(df, column):
 
 
 def test_format(spark):
-    log = records(spark, b"v").withColumns({"offset": F.lit(42).cast("long"), "partition": F.lit(3), "action": F.lit("pass"), "payload": F.col("value")})
-    out = rendered(log, render.format_column("%a\\t%t\\t%p\\t%o\\t%T\\t%K%k\\t%L:%S%s\\t%h%%\\x0a"))
-    assert out == [b"pass\tevents\t3\t42\t100\t1k\t1:1v\ta=1,empty=,none=NULL%\n"]
+    log = records(spark, b"r", b"s\xff").withColumns({"action": F.lit("project"), "payload": F.concat("value", "value")})
+    out = rendered(log.orderBy("offset"), render.format_column("\\x7b%o@%t-%p \\\\%k%K %s/%S/%L %T%%%h\\r\\n%a}"))
+    assert out == [b"{0@events-0 \\k1 rr/2/1 100%a=1,empty=,none=NULL\r\nproject}", b"{1@events-0 \\k1 s\xffs\xff/4/2 200%a=1,empty=,none=NULL\r\nproject}"]
+    assert rendered(log, render.format_column("")) == [b"", b""]
 
 
 def test_lengths(spark):
@@ -216,6 +280,18 @@ def test_option_parsing():
     assert LogQuery("t", properties=("bootstrap.servers=x", "a= b ")).kafka_properties() == {"bootstrap.servers": "x", "a": " b "}
 
 
+def test_problems_come_together():
+    found = list(LogQuery("", count=0, consumers=200, offsets=("soon",), format="%z", max_inflight_bytes="3 apples", project="1 +", envelope_payload="value").problems(brokers=True))
+    assert len(found) == 9 and all(any(word in line for line in found) for word in ("topic", "count is 0", "consumers is 200", "'soon'", "%z", "apples", "projection", "json_envelope", "brokers"))
+
+
+def test_columns_fetched_for_the_output():
+    wanted = lambda **options: kafka.options(LogQuery("t", brokers="b:1", **options))["includeHeaders"]
+    assert [wanted(), wanted(format="%o %k"), wanted(format="%h"), wanted(json_envelope=True)] == ["false", "false", "true", "true"]
+    assert kafka.options(LogQuery("t", brokers="b:1", offsets=("end",), snapshot=True))["startingOffsets"] == "earliest"
+    assert kafka.options(LogQuery("t", brokers="b:1", offsets=("end",)), streaming=True)["startingOffsets"] == "latest"
+
+
 def test_kafka_options():
     out = kafka.options(LogQuery("t", brokers="b:1", partitions=("0-1",), offsets=("5", "e@9")))
     assert out["assign"] == '{"t": [0, 1]}' and out["startingOffsets"] == '{"t": {"0": 5, "1": 5}}' and out["endingTimestamp"] == "9" and out["failOnDataLoss"] == "true"
@@ -225,6 +301,45 @@ def test_kafka_options():
 # sources and sinks
 
 
+def test_command_line_writes_what_precedes_a_failure(spark, tmp_path, capsys):
+    log = records(spark, b"1", b"x", b"2").union(records(spark, b"3", b"4", partition=1))
+    parquet_log.write(log, f"file://{tmp_path}/log")
+    out, argv = io.BytesIO(), ["-t", "events", "--log", f"file://{tmp_path}/log", "--project", "$ * 10", "-f", "%p:%s ", "-e", "--stats"]
+    assert main(argv, out, spark) == 1 and out.getvalue() == b"0:10 1:30 1:40 "
+    said = capsys.readouterr().err
+    assert "events/0/1: invalid JSON" in said and "admitted=5 " in said and "invalid_json=1 " in said
+    out = io.BytesIO()
+    assert main([*argv, "--on-invalid-json", "drop", "-q"], out, spark) == 0 and out.getvalue() == b"0:10 0:20 1:30 1:40 " and capsys.readouterr().err == ""
+    assert main(["-t", "unheard", "--log", f"file://{tmp_path}/log", "-e"], io.BytesIO(), spark) == 1 and "unheard" in capsys.readouterr().err
+    # kept results go with the run
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    assert not [f for f in os.listdir(shared) if f.startswith("sievelog-")]
+
+
+@pytest.mark.parametrize("n", [signal.SIGINT, signal.SIGTERM])
+def test_signals_end_a_follower_after_its_batch(spark, tmp_path, n):
+    parquet_log.write(records(spark, b"a", b"b"), f"file://{tmp_path}/log")
+    out = io.BytesIO()
+
+    def told():
+        until = time.monotonic() + 60
+        while out.getvalue() != b"a\nb\n" and time.monotonic() < until:
+            time.sleep(0.1)
+        os.kill(os.getpid(), n)
+
+    threading.Thread(target=told, daemon=True).start()
+    before = signal.getsignal(n)
+    assert main(["-t", "events", "--log", f"{tmp_path}/log"], out, spark) == 128 + n and out.getvalue() == b"a\nb\n"
+    assert signal.getsignal(n) == before
+
+
+def test_signals_cancel_a_batch(spark, tmp_path):
+    parquet_log.write(records(spark, *[b"{}"] * 200), f"file://{tmp_path}/log")
+    threading.Timer(5, lambda: os.kill(os.getpid(), signal.SIGTERM)).start()
+    slow, out = "$sum([1..2000].($sum([1..2000])))", io.BytesIO()
+    assert main(["-t", "events", "--log", f"{tmp_path}/log", "--project", slow, "-e"], out, spark) == 143 and out.getvalue() == b""
+
+
 def test_stored_log_and_command_line(spark, tmp_path):
     log = records(spark, b'{"id":1}', b'{"id":2}', None).union(records(spark, b'{"id":3}', partition=1))
     parquet_log.write(log, f"file://{tmp_path}/log")
