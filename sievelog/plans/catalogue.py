@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -187,6 +188,29 @@ add("fn_time", _MADE.format("'\"' || strftime(make_timestamp(event_id * 1000000)
 add("fn_parent", "SELECT part, off, 'project' AS action, '[' || array_to_string(list_transform(skus, lambda x: CAST(x + o_orderkey AS VARCHAR)), ',') || ']' AS payload FROM log", "orders", project="[items.(sku + %.order)]")
 add("fn_range_boolean", _MADE.format("""'{"n":' || (event_id % 5) || ',"any":' || CAST(event_id % 5 <> 0 AS VARCHAR) || ',"in":' || CAST(event_type IN ('view', 'click') AS VARCHAR) || '}'"""), project='{"n": $count([1..id % 5]), "any": $boolean(id % 5), "in": type in ["view", "click"]}', on_invalid_json="drop")
 
+add("fn_case_trim", _MADE.format("""'{"low":"' || lower(event_type) || '","trim":"' || event_type || ' x","before":"' || CASE WHEN contains(event_type, 'i') THEN split_part(event_type, 'i', 1) ELSE event_type END || '","after":"' || CASE WHEN contains(event_type, 'i') THEN substring(event_type, strpos(event_type, 'i') + 1) ELSE event_type END || '"}'"""),
+    project='{"low": $lowercase($uppercase(type)), "trim": $trim("  " & type & "   x "), "before": $substringBefore(type, "i"), "after": $substringAfter(type, "i")}', on_invalid_json="drop")
+add("fn_urls", _MADE.format("""'{"part":"' || event_type || '%20%26%2F' || user_id || '","whole":"http://x/' || event_type || '?q=a%20b","back":" ' || event_type || '","also":"a b/' || event_type || '"}'"""),
+    project='{"part": $encodeUrlComponent(type & " &/" & user), "whole": $encodeUrl("http://x/" & type & "?q=a b"), "back": $decodeUrlComponent("%20" & type), "also": $decodeUrl("a%20b/" & type)}', on_invalid_json="drop")
+add("fn_numbers", _MADE.format("""'{"n":' || event_id || ',"square":' || (event_id % 10) * (event_id % 10) || ',"i":' || event_id || ',"mean":' || regexp_replace(CAST((event_id + user_id) / 2 AS VARCHAR), '[.]0$', '') || '}'"""),
+    project='{"n": $number($string(id)), "square": $power(id % 10, 2), "i": $parseInteger($string(id), "0"), "mean": $average([id, user])}', on_invalid_json="drop")
+add("fn_pictures", _MADE.format("""'{"money":"' || format('{:,}', event_id) || '.00","wide":"' || printf('%04d', event_id) || '"}'"""), project='{"money": $formatNumber(id, "#,##0.00"), "wide": $formatInteger(id, "0000")}', on_invalid_json="drop")
+_VOWELS = "regexp_extract_all(event_type, '[aeiou]')"
+add("fn_match_exists", _MADE.format(f"""'{{' || CASE len({_VOWELS}) WHEN 0 THEN '' WHEN 1 THEN '"vowels":"' || {_VOWELS}[1] || '",' ELSE '"vowels":["' || array_to_string({_VOWELS}, '","') || '"],' END || '"there":true,"gone":false,"not":' || CAST(value <= 100 AS VARCHAR) || '}}'"""),
+    project='{"vowels": $match(type, /[aeiou]/).match, "there": $exists(props.k), "gone": $exists(props.z), "not": $not(amount > 100)}', on_invalid_json="drop")
+add("fn_object_parts", _MADE.format("""'{"sifted":{' || CASE WHEN event_id % 2 = 0 THEN '"a":' || event_id || ',' ELSE '' END || '"z":0},"each":["a:' || event_id || '"],"spread":[{"a":' || event_id || '},{"b":' || user_id || '}]}'"""),
+    project='{"sifted": $sift({"a": id, "z": 0}, function($v) { $v % 2 = 0 }), "each": [$each({"a": id}, function($v, $k) { $k & ":" & $v })], "spread": $spread({"a": id, "b": user})}', on_invalid_json="drop")
+add("fn_single_zip_sort", "SELECT part, off, 'project' AS action, '{\"one\":' || skus[1] || ',\"zip\":[[1,\"a\"],[2,\"b\"]],\"up\":[' || array_to_string(list_sort(skus), ',') || '],\"down\":[' || array_to_string(list_reverse_sort(skus), ',') || ']}' AS payload FROM log", "orders",
+    project='{"one": $single(items, function($x, $i) { $i = 0 }).sku, "zip": $zip([1..2], ["a", "b"]), "up": [$sort(items.sku)], "down": [$sort(items.sku, function($l, $r) { $l < $r })]}')
+add("fn_eval_random", _MADE.format("""'{"sum":' || (event_id + 1) || ',"unit":true,"n":5,"t":15,"now":true,"late":true}'"""),
+    project='{"sum": $eval("id + 1"), "unit": $random() < 1 and $random() >= 0, "n": $count($shuffle([1..5])), "t": $sum($shuffle([1..5])), "now": $toMillis($now()) = $millis(), "late": $millis() > 1600000000000}', on_invalid_json="drop")
+add("fn_to_millis", _MADE.format("CAST(event_id * 1000 AS VARCHAR)"), project="$toMillis($fromMillis(id * 1000))", on_invalid_json="drop")
+add("fn_partial", _MADE.format("CAST(event_id + user_id AS VARCHAR)"), project="($add := function($a, $b) { $a + $b }; $plus := $add(?, user); $plus(id))", on_invalid_json="drop")
+add("fn_error_assert", _MADE.format("CAST(event_id AS VARCHAR)") + " AND (tomb OR event_type NOT IN ('view', 'click'))", project='($assert(type != "view", "a view"); type = "click" ? $error("a click") : id)', on_invalid_json="drop", on_eval_error="drop")
+add("nav_wildcards", "SELECT part, off, 'project' AS action, '{\"all\":[' || array_to_string(flatten(list_transform(list_zip(skus, prices), lambda x: [CAST(x[1] AS VARCHAR), regexp_replace(CAST(x[2] AS VARCHAR), '[.]0$', '')])), ',') || '],\"deep\":[' || array_to_string(skus, ',') || '],\"top\":' || o_orderkey || '}' AS payload FROM log", "orders", project='{"all": [items.*], "deep": [**.sku], "top": [*][0]}')
+add("nav_position", "SELECT part, off, 'project' AS action, '[' || array_to_string(list_transform(skus, lambda x, i: CAST(x + i - 1 AS VARCHAR)), ',') || ']' AS payload FROM log", "orders", project="[items#$i.(sku + $i)]")
+add("nav_focus", "SELECT part, off, 'project' AS action, '[' || array_to_string(list_transform(skus, lambda x: '{\"s\":' || x || ',\"o\":' || o_orderkey || '}'), ',') || ']' AS payload FROM log", "orders", project='[items@$x.{"s": $x.sku, "o": order}]')
+
 # output
 
 printed("format_lengths", "SELECT part, off, 'events ' || part || ' ' || off || ' ' || ms || ' ' || length(CAST(user_id AS VARCHAR)) || ':' || user_id || ' ' || CASE WHEN tomb THEN 'tombstone' ELSE 'pass' END || ' ' || coalesce(strlen(val), -1) || '/' || coalesce(strlen(val), -1) || ' ' || coalesce(val, '') || chr(10) AS line FROM log", format="%t %p %o %T %K:%k %a %S/%L %s\\n")
@@ -208,6 +232,27 @@ def _base64(spark, sf_dir, log):
     return out.select(F.col("partition").alias("part"), F.col("offset").alias("off"), line.alias("line")).where("line <> ''")
 
 
+printed("format_default", "SELECT part, off, coalesce(val, '') || chr(10) AS line FROM log")
+printed("format_empty", "SELECT part, off, '' AS line FROM log", format="")
+
+
+@query("ordered_output", "SELECT part, count(*) AS records, CAST(0 AS BIGINT) AS astray FROM log WHERE NOT bad GROUP BY part")
+def _ordered(spark, sf_dir, log):
+    """How many records of each partition come after one of a greater offset in their task's output."""
+    import pyarrow as pa
+
+    def count(batches):
+        last, found = {}, {}
+        for batch in batches:
+            for p, offset in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                records, astray = found.get(p, (0, 0))
+                found[p], last[p] = (records + 1, astray + (offset < last.get(p, -1))), offset
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), *(pa.array([x[i] for x in found.values()], pa.int64()) for i in (0, 1))], names=["part", "records", "astray"])
+
+    out = LogQuery("events", on_invalid_json="drop").ordered(log).select("partition", "offset")
+    return out.mapInArrow(count, "part int, records long, astray long").groupBy("part").agg(F.sum("records").alias("records"), F.sum("astray").alias("astray"))
+
+
 _STATS = """SELECT count(*) AS admitted, count(*) FILTER (WHERE tomb) AS input_tombstones, CAST(sum(strlen(val)) AS BIGINT) AS input_bytes, count(*) FILTER (WHERE bad OR (NOT tomb AND event_type = 'click')) AS dropped,
   count(*) FILTER (WHERE NOT tomb AND NOT bad AND event_type = 'error') AS generated_tombstones, CAST(0 AS BIGINT) AS passed, count(*) FILTER (WHERE NOT tomb AND NOT bad AND event_type NOT IN ('click', 'error')) AS projected,
   count(*) FILTER (WHERE bad) AS invalid_json, CAST(0 AS BIGINT) AS evaluation_failures, count(*) FILTER (WHERE tomb OR (NOT bad AND event_type <> 'click')) AS output_records,
@@ -229,8 +274,11 @@ def _fatal(spark, sf_dir, log):
 
 
 def _folder(spark: SparkSession, log: DataFrame) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    path = tempfile.mkdtemp(prefix="log-", dir=shared.removeprefix("file://"))
+    """The log in a new folder that driver and executors share. It stays, as the query's result is read from it later."""
+    shared, master = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir"), spark.sparkContext.master
+    if not shared and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    path = f"{(shared or tempfile.gettempdir()).removeprefix('file://').rstrip('/')}/log-{uuid.uuid4().hex}"
     parquet_log.write(log, f"file://{path}", "overwrite")
     return path
 
