@@ -2,7 +2,8 @@
 
 A document is a bag of sentences. With s the weights of its distinct words, a sentence isn't toxic with probability
 (1 + e^bias) / (1 + e^(bias + s)): surely not if no word is known, however many such sentences there are. A document is by
-noisy-or: 1 - prod(1 - p). Weights are trained from document labels alone, and the sentence probabilities then locate what
+noisy-or: 1 - prod(1 - p), over the sentences of which p is ``LEAST_P`` at least: less is what single words in clean
+sentences come to by chance, and thousands of them would make any long text toxic. Weights are trained from document labels alone, and the sentence probabilities then locate what
 offends. A word's weight is that of the word itself and of its first four and five letters, so inflected
 and compounded forms of an offensive stem are found too.
 
@@ -32,6 +33,8 @@ LEAST_DOCS, LEAST_Z = 3, 3.5
 REMEMBERED = 200_000
 #: What a sentence's words must outweigh.
 BIAS = -8.0
+#: Sentences that are less likely toxic have no share in a document's score.
+LEAST_P = 0.1
 
 SENTENCE_END = re.compile(r"[.!?\n]+")
 
@@ -146,8 +149,10 @@ class Scorer:
             if s <= 0.0:
                 continue
             none = float(np.logaddexp(0, self.bias + s)) - base
+            if (p := float(-np.expm1(-none))) < LEAST_P:
+                continue
             total += none
-            if (p := float(-np.expm1(-none))) >= 0.5:
+            if p >= 0.5:
                 found.append((start, end, p))
         return float(-np.expm1(-total)), found
 

@@ -231,10 +231,18 @@ def direct(text, weights, bias):
     for sentence in re.split(r"[.!?\n]+", text.lower()):
         words = {w for w in re.findall(r"[a-zäé]+", sentence)}
         s = sum(weights.get(f, 0.0) for w in words for f in [w, *(w[:n] + "*" for n in (4, 5) if len(w) > n)])
-        clean *= (1 + math.exp(bias)) / (1 + math.exp(bias + s)) if s else 1.0
+        not_toxic = (1 + math.exp(bias)) / (1 + math.exp(bias + s)) if s else 1.0
+        clean *= not_toxic if 1 - not_toxic >= 0.1 else 1.0
     return 1 - clean
 
 
+def test_chance_words_of_clean_sentences_never_add_up():
+    scorer = toxicity.Scorer({"bias": -8.0, "weights": {"chance": 5.0, "grobbly": 12.0}})
+    assert scorer.document("a chance word. " * 100_000) == (0.0, [])
+    score, found = scorer.document("a chance word. " * 100_000 + "a grobbly end")
+    assert score > 0.9 and len(found) == 1
+
+
 def test_scores_are_noisy_or_of_sentences(spark):
     rng = random.Random(5)
     words = ["".join(rng.choices("abcdeé", k=rng.randint(2, 9))) for _ in range(60)]
