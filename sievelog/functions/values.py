@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from decimal import Decimal
 
 
@@ -166,11 +167,17 @@ def _finite(text: str) -> float:
     return x
 
 
+#: Numbers that may lie beyond doubles. All others are read without a call of ours for each.
+_HUGE = re.compile(r"[0-9][eE]\+?[0-9]{3}|[0-9]{300}")
+_DECODE = json.JSONDecoder(parse_int=float, parse_constant=_no_constant).decode
+_DECODE_HUGE = json.JSONDecoder(parse_float=_finite, parse_int=_finite, parse_constant=_no_constant).decode
+
+
 def parse_json(data: bytes | str):
     """Exactly one strict JSON value; of repeated keys the last wins. Raises ValueError."""
     text = data if isinstance(data, str) else bytes(data).decode("utf-8")
     try:
-        value = json.loads(text, parse_float=_finite, parse_int=_finite, parse_constant=_no_constant)
+        value = (_DECODE_HUGE if _HUGE.search(text) else _DECODE)(text)
     except RecursionError:
         raise ValueError("nested too deeply") from None
     if "\\u" in text:

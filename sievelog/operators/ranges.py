@@ -14,6 +14,8 @@ from pyspark.sql.window import Window
 from ..schema import MOST_PARTITIONS
 
 MOST_INT, MOST_LONG = 2**31 - 1, 2**63 - 1
+#: Records that one task may sort for a count, and offsets that one task numbers.
+MOST_SORTED, SPAN = 100_000, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -153,13 +155,32 @@ def bounded(log: DataFrame, start: Position, end: Position | None, strict: bool
 def first_records(log: DataFrame, count: int | None = None, per_partition: int | None = None) -> DataFrame:
     """The first ``count`` records by partition and offset, or the first of each partition: before any transform."""
     if count is not None:
-        return log.orderBy("partition", "offset").limit(count)
+        return log.orderBy("partition", "offset").limit(count) if count <= MOST_SORTED else _first_of_all(log, count)
     if per_partition is not None:
         place = F.row_number().over(Window.partitionBy("partition").orderBy("offset"))
         return log.withColumn("_place", place).where(F.col("_place") <= per_partition).drop("_place")
     return log
 
 
-def sequenced(log: DataFrame) -> DataFrame:
-    """``sequence``: a record's dense place in its partition, whatever gaps its offsets have."""
-    return log.withColumn("sequence", F.row_number().over(Window.partitionBy("partition").orderBy("offset")).cast("long") - 1)
+def _first_of_all(log: DataFrame, count: int) -> DataFrame:
+    """As many records as one task shouldn't sort: whole partitions, and of the one where the count ends its first."""
+    before = F.sum("n").over(Window.orderBy("partition").rowsBetween(Window.unboundedPreceding, -1))
+    room = log.groupBy("partition").agg(F.count("*").alias("n")).withColumn("room", count - F.coalesce(before, F.lit(0)))
+    # a row per partition, of which there are MOST_PARTITIONS at most
+    room = F.broadcast(room.where("room > 0").select(F.col("partition").alias("_partition"), "n", "room"))
+    placed = sequenced(log.join(room, F.col("partition") == F.col("_partition")))
+    return placed.where(F.col("sequence") < F.col("room")).select(*log.columns)
+
+
+def sequenced(log: DataFrame, span: int = SPAN) -> DataFrame:
+    """``sequence``: a record's dense place in its partition, whatever gaps its offsets have.
+
+    Records are numbered within spans of offsets, and spans begin where those before them end, so that no task holds a
+    partition of the log.
+    """
+    spans = log.withColumn("_span", F.floor(F.col("offset") / span))
+    before = Window.partitionBy("partition").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    begins = spans.groupBy("partition", "_span").agg(F.count("*").alias("_n")).select(F.col("partition").alias("_p"), F.col("_span").alias("_s"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_begin"))
+    within = F.row_number().over(Window.partitionBy("partition", "_span").orderBy("offset")).cast("long") - 1
+    joined = spans.withColumn("_within", within).join(begins, (F.col("partition") == F.col("_p")) & (F.col("_span") == F.col("_s")))
+    return joined.select(*log.columns, (F.col("_begin") + F.col("_within")).alias("sequence"))

@@ -360,6 +360,23 @@ def test_sequence_is_dense_whatever_the_gaps(spark):
     assert sorted((r.partition, r.offset, r.sequence) for r in ranges.sequenced(log).collect()) == [(0, 1, 0), (0, 4, 1), (0, 5, 2), (1, 0, 0)]
 
 
+@pytest.mark.parametrize("span", [1, 2, 7])
+def test_sequence_over_spans(spark, span):
+    log = records(spark, *[b"x"] * 30).where("offset % 3 != 1 and offset > 4").union(records(spark, *[b"y"] * 5, partition=1))
+    found = sorted((r.partition, r.offset, r.sequence) for r in ranges.sequenced(log, span).collect())
+    places = [[o for o in range(30) if o % 3 != 1 and o > 4], list(range(5))]
+    assert found == [(p, o, i) for p, own in enumerate(places) for i, o in enumerate(own)]
+
+
+def test_large_counts_end_within_a_partition(spark, monkeypatch):
+    log = records(spark, *[b"x"] * 4).union(records(spark, *[b"y"] * 5, partition=1)).union(records(spark, b"z", partition=2))
+    for count in (1, 4, 6, 9, 10, 50):
+        monkeypatch.setattr(ranges, "MOST_SORTED", 100)
+        few = sorted((r.partition, r.offset) for r in ranges.first_records(log, count).collect())
+        monkeypatch.setattr(ranges, "MOST_SORTED", 0)
+        assert sorted((r.partition, r.offset) for r in ranges.first_records(log, count).collect()) == few and len(few) == min(count, 10)
+
+
 # streams
 
 
