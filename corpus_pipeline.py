@@ -51,10 +51,17 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    at = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+def run(spark: SparkSession, sf_dir: str, at: str | None = None) -> DataFrame:
+    """The stages' result. ``at``: a folder for this run's tables, by which a run that was cut off goes on after the last stage
+    that it wrote; without one, a table goes once the next stage has read it."""
+    docs, own = table(spark, sf_dir, "documents"), at is None
+    at = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}" if own else at.rstrip("/")
+    files, path = spark._jvm.org.apache.hadoop.fs, lambda i, name="": f"{at}/{i}{name}"
+    system = files.Path(at).getFileSystem(spark._jsc.hadoopConfiguration())
     for i, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{at}/{i}")
-        docs = spark.read.parquet(f"{at}/{i}")
+        if not system.exists(files.Path(path(i, "/_SUCCESS"))):
+            stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path(i))
+        docs = spark.read.parquet(path(i))
+        if own and i:
+            system.delete(files.Path(path(i - 1)), True)
     return docs
