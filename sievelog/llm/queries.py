@@ -86,14 +86,8 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_crf.predict(docs, model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_token_counts, op3_exact_dedup, op4_source_mix, op5_line_dedup, op6_toxicity, op7_near_duplicates, op8_byte_bpe, op9_nearest, op10_language, pipeline)}
+    return {f.__name__: f for f in (op1_url_filter, op2_token_counts, op3_exact_dedup, op4_source_mix, op5_line_dedup, op6_toxicity, op7_near_duplicates, op8_byte_bpe, op9_nearest, op10_language)}
 
 
 
@@ -202,7 +196,4 @@ SELECT id AS doc_id, size, source_size, target, coalesce(taken, 0) AS taken, slo
 
 
 def oracle_sql() -> dict[str, str]:
-    import corpus_pipeline
-
-    found = {"op1_url_filter": _OP1, "op3_exact_dedup": _OP3, "op4_source_mix": _op4(), "op5_line_dedup": _OP5}
-    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op1_url_filter": _OP1, "op3_exact_dedup": _OP3, "op4_source_mix": _op4(), "op5_line_dedup": _OP5}

@@ -469,8 +469,11 @@ def test_the_whole_pipeline(spark, tmp_path):
         rows.append((i, " ".join(words) + (". you grobbly thing" if i % 8 == 1 else "."), "en", rng.choice(["s0", "s1"]), 0))
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, 1, int(i % 8 == 1)) for i in range(80)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    out = corpus_pipeline.run(spark, str(tmp_path), f"file://{tmp_path}/run").collect()
     ids = {r.doc_id for r in out}
     assert not any(i % 8 == 1 for i in ids), "toxic documents go"
     assert len([i for i in ids if i % 4 == 0]) <= 1, "one near copy stays"
+    # a run that is taken up again goes on from what is there
+    again = corpus_pipeline.run(spark, f"{tmp_path}", f"file://{tmp_path}/run")
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, out))
     assert all(r.n_tokens > 0 for r in out) and set(out[0].asDict()) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"}
