@@ -4,12 +4,10 @@ from __future__ import annotations
 
 import math
 import re
-import sys
 import tempfile
 import uuid
 import weakref
 from collections.abc import Iterator
-from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,19 +19,16 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 WORD = rf"[^{SPACE}]+"
 
 
-#: Runs of letters, in text without numerals that are no digits.
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Runs of letters and of numerals that are no digits, such as fractions and Roman numerals.
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 
-@cache
-def _numerals() -> re.Pattern:
-    """Characters that ``LETTERS`` takes for letters and aren't: fractions, Roman numerals and the like."""
-    return re.compile("[" + "".join(re.escape(x) for c in range(128, sys.maxunicode + 1) if (x := chr(c)).isnumeric() and not x.isdecimal() and not x.isalpha()) + "]")
-
-
-def lettered(text: str) -> str:
-    """``text`` with a space for each such numeral, so that ``LETTERS`` finds letters only; lengths stay."""
-    return text if text.isascii() else _numerals().sub(" ", text)
+def letter_runs(text: str) -> list[str]:
+    """The runs of letters in a text."""
+    found = _LETTERS.findall(text)
+    if "".join(found).isalpha() or not found:
+        return found
+    return [run for x in found for run in "".join(c if c.isalpha() else " " for c in x).split()]
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import LETTERS, durable, lettered, pieces, release
+from .common import durable, letter_runs, pieces, release
 
 SAMPLE, SAMPLE_WORDS, MOST_LANGUAGES, CHAIN, LEXICON = 250, 300, 64, 64, 3000
 #: Affixes and n-grams are hashed to so many weights for each language.
@@ -62,8 +62,8 @@ def hashed_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def chains(text: str) -> Iterator[list[str]]:
     """The words of each line, lower case, in runs of at most CHAIN."""
-    for line in lettered(text.lower()).split("\n"):
-        words = LETTERS.findall(line)
+    for line in text.lower().split("\n"):
+        words = letter_runs(line)
         for at in range(0, len(words), CHAIN):
             yield words[at : at + CHAIN]
 

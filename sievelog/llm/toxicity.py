@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTERS, durable, lettered, release
+from .common import durable, letter_runs, release
 
 SAMPLE = 6000
 #: Features must occur in so many sampled documents, and their rates in the two classes differ by so many standard errors.
@@ -55,8 +55,7 @@ def sentences(text: str) -> Iterator[tuple[int, int]]:
 
 def bags(text: str) -> list[set[str]]:
     """The distinct words of each sentence that has any."""
-    lowered = lettered(text.lower())
-    return [words for s in SENTENCE_END.split(lowered) if (words := set(LETTERS.findall(s)))]
+    return [words for s in SENTENCE_END.split(text.lower()) if (words := set(letter_runs(s)))]
 
 
 def tells(c0, c1, n0, n1):
@@ -132,14 +131,14 @@ class Scorer:
         """The document's probability, and (start, end, p) of each sentence that is more likely toxic than not."""
         total, found, known = 0.0, [], self.known
         base = float(np.logaddexp(0, self.bias))
-        lowered = lettered(text.lower())
-        if not any(map(self.weight, set(LETTERS.findall(lowered)))):
+        lowered = text.lower()
+        if not any(map(self.weight, set(letter_runs(lowered)))):
             # no word of this document says anything
             return 0.0, found
         # lower-casing can change lengths; offsets then come from the text as it is
         source = text if len(lowered) == len(text) else None
         for start, end in sentences(lowered if source is not None else text):
-            words = set(LETTERS.findall(lowered[start:end] if source is not None else lettered(text[start:end].lower())))
+            words = set(letter_runs(lowered[start:end] if source is not None else text[start:end].lower()))
             if not words:
                 continue
             s = 0.0
@@ -187,7 +186,7 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
         return rows.mapInArrow(run, f"{head}, _f {kind}").dropDuplicates(columns)
 
     def named(text: str) -> list[str]:
-        return sorted({f for word in set(LETTERS.findall(lettered(text.lower()))) for f in features(word)})
+        return sorted({f for word in set(letter_runs(text.lower())) for f in features(word)})
 
     counts = mapped(named, "array<string>", pa.list_(pa.string())).select("_y", F.explode("_f").alias("f")).groupBy("f").agg(*[F.sum((F.col("_y") == y).cast("long")).alias(f"c{y}") for y in (0, 1)])
     kept = sorted(r.f for r in counts.where(tells(F.col("c0"), F.col("c1"), n[0], n[1])).select("f").collect())

@@ -278,7 +278,8 @@ def test_fit_goes_down_the_loss():
 
 
 def test_letters_are_letters(spark):
-    assert common.LETTERS.findall(common.lettered("½x² ①Ⅷ é_1 一二 ١")) == ["x", "é", "一二"]
+    assert common.letter_runs("½x² ①Ⅷ é_1 一二 ١ a½b") == ["x", "é", "一二", "a", "b"] and common.letter_runs("½ 1") == common.letter_runs("") == []
+    assert common.letter_runs("".join(map(chr, range(0x3000)))) == "".join(c if (c := chr(i)).isalpha() else " " for i in range(0x3000)).split()
     assert toxicity.bags("½ ². Ⅷ! ok") == [{"ok"}]
     rows = [(i, t, lang) for i, (t, lang) in enumerate([("das haus und der hund", "de"), ("the house and the dog", "en")] * 30)]
     table = spark.createDataFrame([*rows, (100, "½ ² ①", None), (101, "Ⅷ", "de"), (102, "12.5 %", None), (103, "ª", None)], "doc_id long, text string, lang string")
@@ -344,7 +345,7 @@ def classes_of(texts, similar=0.8):
     return [least[root(i)] for i in range(len(texts))]
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 def test_families_within_families(spark, seed):
     """Copies of a source, of a derivative of it, and of parts of it, with edits that some of them share."""
     rng = random.Random(seed)
