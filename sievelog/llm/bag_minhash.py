@@ -28,6 +28,7 @@ that are null take part, and the class's id is its smallest key.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,8 +63,22 @@ BYTE_VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * ODD)
 STEP = np.uint64(0xD1342543DE82EF95)
 
 
-def normal_words(text: str) -> Column:
-    return F.lower(F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), f"[{SPACE}]+", " ")))
+def normal_words(text: str) -> str:
+    """Words in lower case with single spaces between them."""
+    for space in "\t\n\x0b\x0c\r":
+        text = text.replace(space, " ")
+    while "  " in text:
+        text = text.replace("  ", " ")
+    return text.strip(" ").lower()
+
+
+def _has_words(text: str) -> Column:
+    return F.coalesce(F.col(text).rlike(f"[^{SPACE}]"), F.lit(False))
+
+
+def _raw(text: str) -> Column:
+    """What tells texts apart as they are."""
+    return F.unhex(F.md5(F.col(text)))
 
 
 def _windows(raw: bytes, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
@@ -187,17 +202,19 @@ def bands_of(registers: np.ndarray) -> np.ndarray:
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at, texts in pieces(batch.column(2)):
+            texts = [normal_words(t) for t in texts]
             doc, value, weight = shingles(texts)
+            nodes = pa.array([hashlib.md5(t.encode()).digest() for t in texts], pa.binary())
             bands = bands_of(signatures(doc, value, weight, len(texts)))
             n = np.bincount(doc, weight, len(texts)).astype(np.int64)
             rows = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * BANDS, pa.int32()), pa.array(bands.ravel()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, len(texts)) for c in (0, 1)), pa.array(n), rows], names=["key", "node", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, len(texts)) for c in (0, 1)), nodes, pa.array(n), rows], names=["key", "raw", "node", "n", "bands"])
 
 
 def _bagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at, texts in pieces(batch.column(1)):
-            doc, value, weight = shingles(texts)
+            doc, value, weight = shingles([normal_words(t) for t in texts])
             ends = np.cumsum(np.bincount(doc, weight, len(texts)).astype(np.int64))
             bags = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(tagged(value, weight).astype(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), bags], names=["node", "bag"])
@@ -284,22 +301,32 @@ def _rest(open_: DataFrame, compared, linked, similar: float) -> DataFrame:
     return found
 
 
-def row_id(key: str, node: str) -> Column:
-    """What tells rows apart by key, which may be null, and digest of words."""
-    return F.unhex(F.md5(F.concat_ws("|", F.hex(node), F.to_json(F.struct(F.col(key).alias("k"))))))
+def row_id(key: Column, raw: Column) -> Column:
+    """What tells rows apart by key, which may be null, and text."""
+    return F.unhex(F.md5(F.concat_ws("|", F.hex(raw), F.to_json(F.struct(key.alias("k"))))))
 
 
 def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each class the row with the smallest key, nulls last, and of these
     the one whose words' digest is smallest. Rows without words all stay, and so do those that repeat key and words of the
-    row that stays; of rows without a key one does."""
-    found = durable(_classed(docs, key, text, similar).where("main").select(row_id("key", "node").alias("_row")).distinct(), "kept-rows")
-    words = normal_words(text)
-    some = docs.where(words != "").withColumn("_row", row_id(key, F.unhex(F.md5(words)))).join(found, "_row", "left_semi")
-    nth = F.row_number().over(Window.partitionBy("_row").orderBy(F.xxhash64(*docs.columns)))
-    nameless = some.where(F.col(key).isNull()).withColumn("_nth", nth).where(F.col("_nth") <= 1)
-    parts = [some.where(F.col(key).isNotNull()), nameless, docs.where(words == "")]
-    return parts[0].select(*docs.columns).union(parts[1].select(*docs.columns)).union(parts[2])
+    row that stays; of rows without a key one does.
+
+    Only texts of rows that may go are shuffled: a Bloom filter of bounded size knows those that do.
+    """
+    found = durable(_classed(docs, key, text, similar).select("node", "main", F.col("key").isNull().alias("nameless"), row_id(F.col("key"), F.col("raw")).alias("row")).distinct(), "judged-rows")
+    gone = found.where("not main and not nameless").select("row")
+    bits = bloom.bits_for(gone.count())
+    shared = docs.sparkSession.sparkContext.broadcast(bloom.of(gone.select(F.xxhash64("row")), bits).tobytes())
+    packed = docs.select(F.struct(*docs.columns).alias("d"), F.col(key).isNull().alias("nameless"), _has_words(text).alias("words"), row_id(F.col(key), _raw(text)).alias("row"))
+    packed = packed.withColumn("h", F.xxhash64("row"))
+    maybe = bloom.known_in("h", shared, bits)
+    named = packed.where("not nameless")
+    stay = [named.where(~maybe), named.where(maybe).join(gone, "row", "left_anti"), packed.where("nameless and not words")]
+    first = F.row_number().over(Window.partitionBy("node").orderBy("row", F.xxhash64("d")))
+    nameless = packed.where("nameless and words").join(found.where("main and nameless").select("row", "node"), "row")
+    stay.append(nameless.withColumn("nth", first).where(F.col("nth") <= 1))
+    parts = [part.select(*[F.col("d").getField(c).alias(c) for c in docs.columns]) for part in stay]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
@@ -310,17 +337,18 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
 
 def _classed(docs: DataFrame, key: str, text: str, similar: float) -> DataFrame:
-    """key, node (digest of the words), class_id, class_size, copies of each row, and main: whether its class is to be
-    kept by rows of its key and words."""
-    marked = docs.select(F.col(key).alias("key"), normal_words(text).alias("words")).select("key", F.unhex(F.md5("words")).alias("node"), "words")
+    """key, raw (digest of the text), node (digest of the words), class_id, class_size, copies of each row, and main: whether
+    its class is to be kept by rows of its key and words."""
+    given = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = docs.schema[key].dataType.simpleString()
-    rows = durable(marked.where(F.col("words") != "").mapInArrow(_signed, f"key {kind}, node binary, n long, bands array<long>"), "signatures")
-    nodes = rows.groupBy("node").agg(F.min("key").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"))
-    nodes = durable(nodes, "nodes")
-
-    # buckets with more than one node; a node's bands are read from the row that stands for it
-    one = rows.join(nodes.select("node", F.col("rep").alias("r")), "node").where(F.col("key").eqNullSafe(F.col("r"))).select("node", "n", "bands")
-    spread = one.select("node", "n", F.explode("bands").alias("bucket"))
+    rows = durable(given.where(_has_words("text")).select("key", _raw("text").alias("raw"), "text").mapInArrow(_signed, f"key {kind}, raw binary, node binary, n long, bands array<long>"), "signatures")
+    # the row that stands for a node: the one with the smallest key, nulls last
+    stands = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "raw"))
+    nodes = rows.groupBy("node").agg(stands.alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    nodes = durable(nodes.select("node", F.col("rep.key").alias("rep"), F.col("rep.raw").alias("raw"), "copies", "n", "bands"), "nodes")
+
+    # buckets with more than one node
+    spread = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     alike = Window.partitionBy("bucket")
     met = spread.withColumns({"low": F.min("node").over(alike), "high": F.max("node").over(alike), "size": F.count("*").over(alike)}).where(F.col("low") != F.col("high"))
     met = durable(met.select("bucket", "node", "n", "size"), "met")
@@ -329,14 +357,14 @@ def _classed(docs: DataFrame, key: str, text: str, similar: float) -> DataFrame:
     sizes, met = met, durable(met.drop("size").join(central, "node").select("bucket", "node", "n", "meets"), "buckets")
 
     # the bags of nodes that share a bucket with another, from the one row that stands for each
-    wanted = durable(met.select("node").distinct().join(nodes.select("node", "rep"), "node").select(F.col("node").alias("w"), F.col("rep").alias("r")), "wanted")
+    wanted = durable(met.select("node").distinct().join(nodes.select("node", "rep", "raw"), "node").select("node", F.col("rep").alias("r"), F.col("raw").alias("w")), "wanted")
+    release(sizes)
     bits = bloom.bits_for(wanted.count())
     shared = docs.sparkSession.sparkContext.broadcast(bloom.of(wanted.select(F.xxhash64("r")), bits).tobytes())
-    some = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(F.col(key)).alias("h")).where(bloom.known_in("h", shared, bits))
-    some = some.select("key", normal_words("text").alias("words")).select("key", F.unhex(F.md5("words")).alias("node"), "words")
-    release(sizes)
-    texts = some.join(wanted, (some["node"] == wanted["w"]) & some["key"].eqNullSafe(wanted["r"])).select("node", "words")
-    bags = durable(texts.mapInArrow(_bagged, "node binary, bag array<long>"), "bags")
+    some = given.withColumn("h", F.xxhash64("key")).where(bloom.known_in("h", shared, bits)).select("key", "text", _raw("text").alias("raw"))
+    texts = some.join(wanted, (some["raw"] == wanted["w"]) & some["key"].eqNullSafe(wanted["r"])).select("node", "text")
+    # rows may repeat
+    bags = durable(texts.dropDuplicates(["node"]).mapInArrow(_bagged, "node binary, bag array<long>"), "bags")
     shared.destroy()
 
     def compared(pairs: DataFrame) -> DataFrame:
@@ -385,6 +413,7 @@ def _classed(docs: DataFrame, key: str, text: str, similar: float) -> DataFrame:
     classes = labelled.groupBy("label").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"), first.alias("main"))
     held = durable(labelled.join(classes, "label").select("node", "class_id", "class_size", "copies", (F.col("node") == F.col("main")).alias("main")), "classes")
     release(nodes, labels, labelled)
-    found = rows.select("key", "node").join(held, "node").withColumn("main", F.col("main") & F.col("key").eqNullSafe(F.col("class_id")))
-    alone = marked.where(F.col("words") == "").select("key", "node", F.col("key").alias("class_id"), *[F.lit(n).cast("long").alias(c) for c, n in (("class_size", 1), ("copies", 1))], F.lit(True).alias("main"))
-    return found.select("key", "node", "class_id", "class_size", "copies", "main").unionByName(alone)
+    found = rows.select("key", "raw", "node").join(held, "node").withColumn("main", F.col("main") & F.col("key").eqNullSafe(F.col("class_id")))
+    one = F.lit(1).cast("long")
+    alone = given.where(~_has_words("text")).select("key", _raw("text").alias("raw"), F.lit(None).cast("binary").alias("node"), F.col("key").alias("class_id"), one.alias("class_size"), one.alias("copies"), F.lit(True).alias("main"))
+    return found.select("key", "raw", "node", "class_id", "class_size", "copies", "main").unionByName(alone)
