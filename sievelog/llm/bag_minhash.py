@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import bloom
-from .common import SPACE, durable, pieces, release
+from .common import SPACE, durable, lean, pieces, release
 from .components import components
 
 WORDS, SIMILAR, BANDS, ROWS = 5, 0.8, 32, 6
@@ -341,7 +341,7 @@ def _classed(docs: DataFrame, key: str, text: str, similar: float) -> DataFrame:
     its class is to be kept by rows of its key and words."""
     given = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = docs.schema[key].dataType.simpleString()
-    rows = durable(given.where(_has_words("text")).select("key", _raw("text").alias("raw"), "text").mapInArrow(_signed, f"key {kind}, raw binary, node binary, n long, bands array<long>"), "signatures")
+    rows = durable(given.where(_has_words("text")).select("key", _raw("text").alias("raw"), "text").mapInArrow(lean(_signed), f"key {kind}, raw binary, node binary, n long, bands array<long>"), "signatures")
     # the row that stands for a node: the one with the smallest key, nulls last
     stands = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "raw"))
     nodes = rows.groupBy("node").agg(stands.alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
@@ -364,7 +364,7 @@ def _classed(docs: DataFrame, key: str, text: str, similar: float) -> DataFrame:
     some = given.withColumn("h", F.xxhash64("key")).where(bloom.known_in("h", shared, bits)).select("key", "text", _raw("text").alias("raw"))
     texts = some.join(wanted, (some["raw"] == wanted["w"]) & some["key"].eqNullSafe(wanted["r"])).select("node", "text")
     # rows may repeat
-    bags = durable(texts.dropDuplicates(["node"]).mapInArrow(_bagged, "node binary, bag array<long>"), "bags")
+    bags = durable(texts.dropDuplicates(["node"]).mapInArrow(lean(_bagged), "node binary, bag array<long>"), "bags")
     shared.destroy()
 
     def compared(pairs: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 PROBES = 4
 #: Filters have 2^16 bits at least, and are merged in so many segments.
 LEAST_BITS, SEGMENTS = 1 << 16, 64
@@ -56,7 +58,7 @@ def of(hashes: DataFrame, bits: int, tasks: int | None = None) -> np.ndarray:
                 whole |= np.frombuffer(x.as_py(), np.uint8)
         yield pa.RecordBatch.from_pydict({"segment": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([whole.tobytes()], pa.binary())})
 
-    made = hashes.coalesce(tasks or hashes.sparkSession.sparkContext.defaultParallelism).mapInArrow(build, "segment int, part binary")
+    made = hashes.coalesce(tasks or hashes.sparkSession.sparkContext.defaultParallelism).mapInArrow(lean(build), "segment int, part binary")
     table = np.zeros((SEGMENTS, bits // 8 // SEGMENTS), np.uint8)
     for segment, part in made.groupBy("segment").applyInArrow(join, "segment int, part binary").toLocalIterator():
         table[segment] = np.frombuffer(part, np.uint8)

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import lean
 from .token_counts import load_ranks
 
 __all__ = ["Codec", "decode", "encode", "load_ranks", "serialise"]
@@ -125,7 +126,7 @@ def decode(rows: DataFrame, model: bytes, pattern: str, *, key: str = "doc_id",
                 part = batch.slice(at, 500)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([codec.decode(x.as_py() or []) for x in part.column(1)], pa.binary())], names=[key, "bytes"])
 
-    return rows.select(key, ids).mapInArrow(run, f"{key} {kind}, bytes binary")
+    return rows.select(key, ids).mapInArrow(lean(run), f"{key} {kind}, bytes binary")
 
 
 def round_trip(docs: DataFrame, model: bytes, pattern: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -153,4 +154,4 @@ def _mapped(docs: DataFrame, model: bytes, pattern: str, key: str, text: str, sc
                 rows = [made(codec, codec.encode(x.as_py() or "")) for x in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]], names=names)
 
-    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, {schema}")
+    return docs.select(key, text).mapInArrow(lean(run), f"{key} {kind}, {schema}")

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import bloom
 from .bloom import SEGMENTS, has, positions, put
-from .common import SPACE_CHARS, durable
+from .common import SPACE_CHARS, durable, lean, slices
 
 #: Lines of a row that filters are made for, and bytes of filters that a row may cost.
 LINES, COST = 8, 100
@@ -96,7 +96,7 @@ def twice_seen(docs: DataFrame, least_chars: int, bits: int, text: str = "text",
         yield pa.RecordBatch.from_pydict({"segment": pa.array([key[0].as_py()], pa.int32()), "twice": [twice]})
 
     tasks = tasks or docs.sparkSession.sparkContext.defaultParallelism
-    made = docs.select(text).coalesce(tasks).mapInArrow(build, "segment int, once binary, twice binary")
+    made = docs.select(text).coalesce(tasks).mapInArrow(lean(build), "segment int, once binary, twice binary")
     table, size = np.zeros(bits // 8, np.uint8), bits // 8 // SEGMENTS
     for segment, twice in made.groupBy("segment").applyInArrow(join, "segment int, twice binary").toLocalIterator():
         table[segment * size : (segment + 1) * size] = np.frombuffer(twice, np.uint8)
@@ -131,7 +131,7 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lea
             yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array([digest_of(keys[i]) for i in found], pa.binary())], names=["key", "row", "digest"])
 
     marked = own.withColumn("row", F.xxhash64(key, text))
-    light = durable(marked.select(F.col(key).alias("key"), "row", text).mapInArrow(suspects, f"key {kind}, row long, digest binary"), "suspects")
+    light = durable(marked.select(F.col(key).alias("key"), "row", text).mapInArrow(lean(suspects), f"key {kind}, row long, digest binary"), "suspects")
     shared.destroy()
     # one row per line before the shuffle from each task, however frequent it is; as a table, so that Spark can split the
     # join where a line is
@@ -149,7 +149,7 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lea
     columns = [f"c{i}" for i in range(len(names))]
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts, n_lines, n_dropped = [], [], []
             for value, gone in zip(batch.column(at), batch.column(len(names)), strict=True):
                 value, gone = value.as_py() or "", gone.as_py()
@@ -167,7 +167,7 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lea
             yield pa.RecordBatch.from_arrays([*out, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=[*columns, "n_lines", "n_dropped"])
 
     schema = own.schema.add("n_lines", "long").add("n_dropped", "long")
-    touched = joined.select(*columns, "gone").mapInArrow(rebuild, schema)
+    touched = joined.select(*columns, "gone").mapInArrow(lean(rebuild), schema)
     # the others lose nothing, and need no Python: a null text is one empty line
     filled = F.coalesce(F.col(text), F.lit(""))
     breaks = F.length(filled) - F.length(F.replace(filled, F.lit("\n"), F.lit("")))

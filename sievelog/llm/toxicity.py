@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, letter_runs, release
+from .common import durable, lean, letter_runs, release, slices
 
 SAMPLE = 6000
 #: Features must occur in so many sampled documents, and their rates in the two classes differ by so many standard errors.
@@ -169,8 +169,9 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     texts = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(F.broadcast(ids), "_k").where(F.col("_t").isNotNull())
     texts = durable(texts.select("_k", F.xxhash64("_t").alias("_h"), "_y", "_t"), "labelled-texts")
     keys = texts.select("_k", "_h", "_y").distinct().orderBy(F.xxhash64("_k"), "_k", "_h", "_y").limit(SAMPLE)
-    chosen = keys.collect()
-    n = Counter(r["_y"] for r in chosen)
+    # as an Arrow table, which takes no Python worker to become a frame again
+    chosen = keys.toArrow()
+    n = Counter(chosen["_y"].to_pylist())
     if len(n) < 2:
         release(texts)
         return fit([])
@@ -183,7 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([make(x.as_py()) for x in batch.column(3)], arrow)], names=[*columns, "_f"])
 
         # rows with one key, text and label are learned from once
-        return rows.mapInArrow(run, f"{head}, _f {kind}").dropDuplicates(columns)
+        return rows.mapInArrow(lean(run), f"{head}, _f {kind}").dropDuplicates(columns)
 
     def named(text: str) -> list[str]:
         return sorted({f for word in set(letter_runs(text.lower())) for f in features(word)})
@@ -211,7 +212,7 @@ def score(docs: DataFrame, model: dict, *, key: str = "doc_id", text: str = "tex
             found = pa.array([[{"start": a, "end": b, "p": p} for a, b, p in f] for _, f in rows], spans)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), found], names=["key", "score", "predicted", "offending"])
 
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, score double, predicted int, offending array<struct<start:int,end:int,p:double>>").toDF(key, "score", "predicted", "offending")
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(lean(run), f"key {kind}, score double, predicted int, offending array<struct<start:int,end:int,p:double>>").toDF(key, "score", "predicted", "offending")
 
 
 def keep_clean(docs: DataFrame, model: dict, *, text: str = "text") -> DataFrame:
@@ -220,7 +221,7 @@ def keep_clean(docs: DataFrame, model: dict, *, text: str = "text") -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array([scorer.document(x.as_py() or "")[0] < 0.5 for x in batch.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

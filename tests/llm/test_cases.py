@@ -4,9 +4,13 @@ import hashlib
 import math
 import random
 import re
+import sys
 from collections import Counter, defaultdict
+from types import SimpleNamespace
+from unittest.mock import MagicMock
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -478,3 +482,33 @@ def test_the_whole_pipeline(spark, tmp_path):
     again = corpus_pipeline.run(spark, f"{tmp_path}", f"file://{tmp_path}/run")
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, out))
     assert all(r.n_tokens > 0 for r in out) and set(out[0].asDict()) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"}
+
+
+# memory
+
+
+def held():
+    """MB of this process's own memory."""
+    with open("/proc/self/status") as status:
+        return int(re.search(r"RssAnon:\s+(\d+)", status.read())[1]) // 1024
+
+
+@pytest.mark.skipif(not sys.platform.startswith("linux"), reason="reads /proc")
+@pytest.mark.parametrize("made", [lambda docs: toxicity.keep_clean(docs, {"bias": -8.0, "weights": {}}), lambda docs: byte_bpe.round_trip(docs, *queries.bpe_model()), lambda docs: byte_bpe.encode(docs, *queries.bpe_model())])
+def test_workers_give_back_what_a_task_took(made):
+    docs, kept = MagicMock(columns=["doc_id", "text"]), []
+    docs.sparkSession.sparkContext.broadcast = lambda x: SimpleNamespace(value=x)
+    docs.select.return_value = docs
+    made(docs)
+
+    def batches(n):
+        texts = [f"{i} word " * 100 for i in range(n)]
+        kept.append(texts.pop())  # so that the C library doesn't let the rest go by itself
+        del texts
+        yield pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["one", None]})
+
+    run = docs.mapInArrow.call_args[0][0]
+    assert sum(b.num_rows for b in run(batches(2))) == 2
+    before = held()
+    assert sum(b.num_rows for b in run(batches(200_000))) == 2
+    assert held() - before < 60
