@@ -512,3 +512,27 @@ def test_workers_give_back_what_a_task_took(made):
     before = held()
     assert sum(b.num_rows for b in run(batches(200_000))) == 2
     assert held() - before < 60
+
+
+@pytest.mark.skipif(not sys.platform.startswith("linux"), reason="reads /proc")
+def test_line_dedup_gives_memory_back_and_sends_small_batches(spark, monkeypatch):
+    frame, made, kept = type(spark.range(0)), [], []
+    original = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, run, *a, **b: made.append(run) or original(self, run, *a, **b))
+    line_dedup.dedup_lines(spark.createDataFrame([(1, "one")], "doc_id long, text string"))
+    gone = pa.array([None] * 1200, pa.list_(pa.binary()))
+    batch = pa.RecordBatch.from_pydict({"c0": list(range(1200)), "c1": [f"{i}\none" for i in range(1200)], "gone": gone})
+    # the first makes filters of texts, the last rebuilds texts
+    for run, own in ((made[0], batch.select(["c1"])), (made[-1], batch)):
+
+        def batches(n, own=own):
+            texts = [f"{i} word " * 100 for i in range(n)]
+            kept.append(texts.pop())
+            del texts
+            yield own
+
+        first = [b.num_rows for b in run(batches(2))]
+        before = held()
+        assert [b.num_rows for b in run(batches(200_000))] == first
+        assert held() - before < 60
+    assert first == [500, 500, 200]
