@@ -14,8 +14,8 @@ from pyspark.sql.window import Window
 from ..schema import MOST_PARTITIONS
 
 MOST_INT, MOST_LONG = 2**31 - 1, 2**63 - 1
-#: Records that one task may sort for a count, and offsets that one task numbers.
-MOST_SORTED, SPAN = 100_000, 1 << 20
+#: Records that one task may sort for a count, and offsets or ids that are numbered and stored together.
+MOST_SORTED, SPAN = 100_000, 1 << 12
 
 
 @dataclass(frozen=True)
@@ -172,15 +172,27 @@ def _first_of_all(log: DataFrame, count: int) -> DataFrame:
     return placed.where(F.col("sequence") < F.col("room")).select(*log.columns)
 
 
-def sequenced(log: DataFrame, span: int = SPAN) -> DataFrame:
-    """``sequence``: a record's dense place in its partition, whatever gaps its offsets have.
+def spanned(number: str, span: int | None = None) -> Column:
+    """Which span a whole number lies in; spans ascend with the numbers, and a null's is the last."""
+    return F.coalesce(F.floor(F.col(number) / (span or SPAN)), F.lit(MOST_LONG))
 
-    Records are numbered within spans of offsets, and spans begin where those before them end, so that no task holds a
-    partition of the log.
+
+def numbered(rows: DataFrame, order: Sequence[str], name: str, span: int | None = None) -> DataFrame:
+    """``name``: a row's place in its partition by ``order``, whole numbers with nulls last, whatever gaps they have.
+
+    Rows are numbered within spans of the first number, and spans begin where those before them end: no task holds a
+    partition of the log, and counting spans reads no other column. Rows that share a first number are numbered by one task.
     """
-    spans = log.withColumn("_span", F.floor(F.col("offset") / span))
-    before = Window.partitionBy("partition").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
-    begins = spans.groupBy("partition", "_span").agg(F.count("*").alias("_n")).select(F.col("partition").alias("_p"), F.col("_span").alias("_s"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_begin"))
-    within = F.row_number().over(Window.partitionBy("partition", "_span").orderBy("offset")).cast("long") - 1
-    joined = spans.withColumn("_within", within).join(begins, (F.col("partition") == F.col("_p")) & (F.col("_span") == F.col("_s")))
-    return joined.select(*log.columns, (F.col("_begin") + F.col("_within")).alias("sequence"))
+    columns = rows.columns
+    # a null partition is one like others
+    rows = rows.withColumns({"_part": F.coalesce(F.col("partition").cast("long"), F.lit(MOST_LONG)), "_span": spanned(order[0], span)})
+    before = Window.partitionBy("_p").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    begins = rows.groupBy(F.col("_part").alias("_p"), F.col("_span").alias("_s")).agg(F.count("*").alias("_n")).select("_p", "_s", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_begin"))
+    within = F.row_number().over(Window.partitionBy("_part", "_span").orderBy(*(F.col(c).asc_nulls_last() for c in order))).cast("long") - 1
+    joined = rows.withColumn("_within", within).join(begins, (F.col("_part") == F.col("_p")) & (F.col("_span") == F.col("_s")))
+    return joined.select(*columns, (F.col("_begin") + F.col("_within")).alias(name))
+
+
+def sequenced(log: DataFrame, span: int | None = None) -> DataFrame:
+    """``sequence``: a record's dense place in its partition, whatever gaps its offsets have."""
+    return numbered(log, ["offset"], "sequence", span)

@@ -4,21 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from ..operators import ranges
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _number(column: str) -> Column:
-    return F.regexp_replace(F.col(column).cast("string"), "[.]0$", "")
+def _number(x: Column) -> Column:
+    return F.regexp_replace(x.cast("string"), "[.]0$", "")
 
 
 def _record(df: DataFrame, topic: str, partition: Column, order: list[str], value: Column, key: Column, timestamp: Column | None = None, headers: Column | None = None) -> DataFrame:
-    at = F.row_number().over(Window.partitionBy("partition").orderBy(*order)) - 1
-    return df.withColumn("partition", partition.cast("int")).select(
-        F.lit(topic).alias("topic"), "partition", at.cast("long").alias("offset"),
+    return ranges.numbered(df.withColumn("partition", partition.cast("int")), order, "offset").select(
+        F.lit(topic).alias("topic"), "partition", "offset",
         (timestamp if timestamp is not None else F.lit(None)).cast("timestamp").alias("timestamp"), F.lit(-1 if timestamp is None else 0).alias("timestampType"),
         key.cast("binary").alias("key"), (headers if headers is not None else F.array()).cast("array<struct<key:string,value:binary>>").alias("headers"), value.cast("binary").alias("value"),
     )
@@ -26,7 +26,7 @@ def _record(df: DataFrame, topic: str, partition: Column, order: list[str], valu
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four partitions by user; JSON objects, tombstones (ids divisible by 97) and malformed values (by 101)."""
-    whole = F.concat(F.lit('{"id":'), "event_id", F.lit(',"user":'), "user_id", F.lit(',"type":"'), "event_type", F.lit('","amount":'), _number("value"), F.lit(',"props":'), "props", F.lit("}"))
+    whole = F.concat(F.lit('{"id":'), "event_id", F.lit(',"user":'), "user_id", F.lit(',"type":"'), "event_type", F.lit('","amount":'), _number(F.col("value")), F.lit(',"props":'), "props", F.lit("}"))
     value = F.when(F.col("event_id") % 97 == 0, None).when(F.col("event_id") % 101 == 0, F.concat(F.lit('{"id":'), "event_id")).otherwise(whole)
     header = lambda name, x: F.struct(F.lit(name).alias("key"), x.cast("binary").alias("value"))
     headers = F.array(header("source", F.lit("events")), header("empty", F.lit("")), header("none", F.lit(None)))
@@ -35,7 +35,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three partitions by customer; an order with the array of its items."""
-    item = F.concat(F.lit('{"sku":'), "l_partkey", F.lit(',"price":'), _number("l_extendedprice"), F.lit("}"))
+    item = F.concat(F.lit('{"sku":'), "l_partkey", F.lit(',"price":'), _number(F.col("l_extendedprice")), F.lit("}"))
     lines = _table(spark, sf_dir, "lineitem").withColumn("item", F.struct("l_linenumber", "l_partkey", "l_extendedprice", item.alias("text")))
     lines = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_join(F.transform(F.sort_array(F.collect_list("item")), lambda x: x["text"]), ",").alias("items"))
     both = _table(spark, sf_dir, "orders").join(lines, "o_orderkey")

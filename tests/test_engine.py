@@ -3,6 +3,7 @@ import os
 import signal
 import threading
 import time
+from itertools import groupby
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,10 +14,13 @@ from sievelog.plans.cli import main
 from sievelog.plans.query import LogQuery, OptionError, parse_duration, parse_properties, parse_size
 from sievelog.plans.sink import to_stream
 from sievelog.schema import RECORD
-from sievelog.sources import kafka, parquet_log
+from sievelog.sources import derived, kafka, parquet_log
 from sievelog.streaming import run as streaming
 
 
+SF = "/root/testdata/sf0.001"
+
+
 def records(spark, *values, partition=0, topic="events"):
     from datetime import UTC, datetime
 
@@ -426,3 +430,33 @@ def test_command_line_follows(spark, tmp_path, capsys):
     assert codes == [0] and out.getvalue() == b"1b 2c 3d "
     said = capsys.readouterr().err.splitlines()
     assert sum("admitted=2 " in line for line in said) >= 2 and "admitted=3 " in said[-1]
+
+
+# larger logs: no task holds a partition of one
+
+
+@pytest.fixture
+def spread(spark, monkeypatch):
+    """Small spans, and as many tasks as for large tables; gives the most records of a log in one task."""
+    monkeypatch.setattr(ranges, "SPAN", 16, raising=False)
+    options = {"spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in options}
+    for k, v in options.items():
+        spark.conf.set(k, v)
+    yield lambda log: max(r.n for r in log.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.max("offset")).collect())
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("topic", ["events", "orders", "conversations", "documents"])
+def test_derived_logs_are_numbered_by_many_tasks(spark, spread, topic):
+    log = getattr(derived, topic)(spark, SF)
+    held = {p: sorted(r.offset for r in rows) for p, rows in groupby(sorted(log.select("partition", "offset").collect(), key=lambda r: r.partition), lambda r: r.partition)}
+    assert all(found == list(range(len(found))) for found in held.values())
+    assert spread(log) < min(map(len, held.values()))
+
+
+def test_numbers_of_any_order(spark):
+    rows = [(0, 7, 2), (0, 7, 1), (0, -40, 5), (0, None, 0), (0, 7, None), (None, 3, 3), (None, -3, 3), (-1, 2**62, 0)]
+    found = ranges.numbered(spark.createDataFrame(rows, "partition int, a long, b int"), ["a", "b"], "at", 4)
+    assert {tuple(r)[:3]: r["at"] for r in found.collect()} == dict(zip(rows, [2, 1, 0, 4, 3, 1, 0, 0], strict=True))
