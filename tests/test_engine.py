@@ -5,6 +5,7 @@ import threading
 import time
 from itertools import groupby
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -460,3 +461,25 @@ def test_numbers_of_any_order(spark):
     rows = [(0, 7, 2), (0, 7, 1), (0, -40, 5), (0, None, 0), (0, 7, None), (None, 3, 3), (None, -3, 3), (-1, 2**62, 0)]
     found = ranges.numbered(spark.createDataFrame(rows, "partition int, a long, b int"), ["a", "b"], "at", 4)
     assert {tuple(r)[:3]: r["at"] for r in found.collect()} == dict(zip(rows, [2, 1, 0, 4, 3, 1, 0, 0], strict=True))
+
+
+def test_stored_logs_are_written_and_read_by_many_tasks(spark, spread, tmp_path, monkeypatch):
+    log = derived.events(spark, SF)
+    parquet_log.write(log, f"file://{tmp_path}/log")
+    whole = {p: high for p, (low, high) in parquet_log._offsets(f"{tmp_path}/log").items()}
+    assert sum(whole.values()) == log.count() and max(pq.read_metadata(f).num_rows for f in tmp_path.glob("log/*/*.parquet")) < min(whole.values())
+    monkeypatch.setattr(parquet_log, "TASK_BYTES", 10_000)
+    edges = {p: (20, high - 5) for p, high in whole.items()}
+    options = {"path": f"{tmp_path}/log", "start": "20", "end": "60"}
+    tasks = parquet_log.LogReader(options).partitions()
+    stream = parquet_log.LogStreamReader(options).partitions({str(p): a for p, (a, _) in edges.items()}, {str(p): b for p, (_, b) in edges.items()})
+    for made, wanted in ((tasks, dict.fromkeys(whole, (20, 60))), (stream, edges)):
+        found = [(p, o) for t in made for b in parquet_log._batches(t) for p, o in zip(b["partition"].to_pylist(), b["offset"].to_pylist(), strict=True)]
+        assert sorted(found) == [(p, o) for p, (a, b) in sorted(wanted.items()) for o in range(a, b)]
+    assert len(stream) > 2 * len(whole) and all(sum(g.size for g in t.groups) <= 10_000 or len(t.groups) == 1 for t in stream)
+
+
+def test_files_are_known_anew_when_they_change(spark, tmp_path):
+    for values, high in (([b"a", b"b"], 2), ([b"c"] * 5, 5)):
+        parquet_log.write(records(spark, *values), f"file://{tmp_path}/log", "overwrite")
+        assert parquet_log._offsets(f"{tmp_path}/log") == {0: (0, high)}
