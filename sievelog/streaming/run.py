@@ -6,6 +6,8 @@ import threading
 import time
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
@@ -60,8 +62,31 @@ def admitted(query: LogQuery, log: DataFrame, limits: DataFrame | None = None) -
     return log
 
 
+def _may_be_first(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The records of a task that come before all but ``n - 1`` of those seen so far of their partition: ``n`` of each where
+    offsets ascend, more where they don't, never fewer. Only offsets are kept, ``n`` of a partition at most."""
+
+    def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[int, np.ndarray] = {}
+        for batch in batches:
+            parts, offsets = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("partition", "offset"))
+            order = np.lexsort((offsets, parts))
+            kept = []
+            for run in np.split(order, np.flatnonzero(np.diff(parts[order])) + 1):
+                if len(run := run[:n]):
+                    best = np.sort(np.concatenate([least.get(parts[run[0]], offsets[:0]), offsets[run]]))[:n]
+                    least[parts[run[0]]] = best
+                    kept.append(run[offsets[run] <= best[-1]])
+            if sum(map(len, kept)):
+                yield batch.take(pa.array(np.sort(np.concatenate(kept))))
+
+    return few
+
+
 def first_of_each(log: DataFrame, n: int) -> DataFrame:
-    """The first ``n`` records of each partition over the whole stream: a count per partition is the only state."""
+    """The first ``n`` records of each partition over the whole stream: a count per partition is the only state.
+
+    Tasks send on what may be among the first ones only; some ``2 n`` records of a partition are held at once."""
     import pandas as pd
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -69,11 +94,18 @@ def first_of_each(log: DataFrame, n: int) -> DataFrame:
 
     def keep(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seen = state.get[0] if state.exists else 0
-        rows = pd.concat([p.sort_values("offset").head(n) for p in parts]).sort_values("offset").head(max(0, n - seen))
+        # copies, as parts of a frame keep all of it in memory
+        first = lambda frames: pd.concat(frames).sort_values("offset").head(max(0, n - seen)).copy()
+        held: list[pd.DataFrame] = []
+        for p in parts:
+            held.append(first([p]))
+            if sum(map(len, held[1:])) > n:
+                held = [first(held)]
+        rows = first(held)
         state.update((seen + len(rows),))
         yield rows[columns]
 
-    return log.groupBy("partition").applyInPandasWithState(keep, log.schema, "seen long", "append", GroupStateTimeout.NoTimeout)
+    return log.mapInArrow(_may_be_first(n), log.schema).groupBy("partition").applyInPandasWithState(keep, log.schema, "seen long", "append", GroupStateTimeout.NoTimeout)
 
 
 def transformed(query: LogQuery, log: DataFrame, limits: DataFrame | None = None) -> DataFrame:

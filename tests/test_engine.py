@@ -483,3 +483,32 @@ def test_files_are_known_anew_when_they_change(spark, tmp_path):
     for values, high in (([b"a", b"b"], 2), ([b"c"] * 5, 5)):
         parquet_log.write(records(spark, *values), f"file://{tmp_path}/log", "overwrite")
         assert parquet_log._offsets(f"{tmp_path}/log") == {0: (0, high)}
+
+
+@pytest.mark.parametrize("n", [1, 3, 40, 1000])
+@pytest.mark.parametrize("ascending", [True, False])
+def test_few_records_of_a_stream_reach_its_counts(n, ascending):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    parts = rng.integers(0, 3, 900)
+    offsets = np.array([(parts[:i] == parts[i]).sum() for i in range(900)])
+    order = np.arange(900) if ascending else rng.permutation(900)
+    batch = pa.RecordBatch.from_arrays([pa.array(parts[order]), pa.array(offsets[order]), pa.array([b"v"] * 900)], names=["partition", "offset", "value"])
+    made = pa.Table.from_batches(list(streaming._may_be_first(n)(batch.slice(i, 64) for i in range(0, 900, 64))), batch.schema)
+    found = list(zip(made["partition"].to_pylist(), made["offset"].to_pylist(), strict=True))
+    first = {(int(p), int(o)) for p, o in zip(parts, offsets, strict=True) if o < n}
+    assert len(set(found)) == len(found) and first <= set(found)
+    assert not ascending or set(found) == first
+
+
+def test_counts_per_partition_go_on_after_a_restart(spark, tmp_path):
+    log = records(spark, b"a", b"b", b"c", b"d", b"e").union(records(spark, b"f", partition=1))
+    parquet_log.write(log.where("offset < 2"), f"file://{tmp_path}/log")
+    options = {"exit_at_end": True, "count_per_partition": 3}
+    assert streamed(spark, f"{tmp_path}/log", f"{tmp_path}/state", **options) == [(0, 0), (0, 1), (1, 0)]
+    parquet_log.write(log.where("offset >= 2"), f"file://{tmp_path}/log", "append")
+    assert streamed(spark, f"{tmp_path}/log", f"{tmp_path}/state", **options) == [(0, 2)]
+    parquet_log.write(log.where("offset = 1").withColumn("offset", F.lit(9).cast("long")), f"file://{tmp_path}/log", "append")
+    assert streamed(spark, f"{tmp_path}/log", f"{tmp_path}/state", **options) == []
